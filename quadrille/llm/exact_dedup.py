@@ -80,3 +80,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         exact = by_text.join(each, ["digest", "text"]).select(F.col("id").alias("own_id"), "digest", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"))
         out = out.join(differ, "digest", "left_anti").select(*exact.columns).unionByName(exact)
     return out.withColumnRenamed("own_id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the copies: rows whose id stays, with all their columns."""
+    stay = duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__stay_id"), F.col("digest").alias("__stay_digest")).distinct()
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (text == F.col("__stay_digest")), "left_semi")

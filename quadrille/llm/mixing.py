@@ -87,3 +87,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = c("epochs") * c("size") + part
     made = F.struct(c("size").alias("size"), c("source_size").alias("source_size"), c("target").alias("target"), taken.alias("taken"))
     return out.withColumn("mix", made).drop(*[x for x in out.columns if x.startswith("__mix_")])
+
+
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: every row once for each whole epoch it is in, and what is left of it (its first words) at its source's cut."""
+    rows = mix(docs, id_col, text_col, source_col)
+    size, taken = F.col("mix.size"), F.col("mix.taken")
+    whole, rest = F.floor(taken / size).cast("int"), taken % size
+    rows = rows.where(taken > 0).withColumn("__times", F.array_repeat(size, whole)).withColumn("__times", F.when(rest > 0, F.concat("__times", F.array(rest))).otherwise(F.col("__times")))
+    rows = rows.withColumn("__words", F.explode("__times"))
+    # Cut after each word, so that the first n parts are the text up to the end of its n-th word.
+    first = F.array_join(F.slice(F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("__words").cast("int")), "")
+    text = F.when(F.col("__words") < size, first).otherwise(F.col(text_col))
+    rows = rows.withColumn("__text", text).drop("mix", "__times", "__words")
+    out = rows.withColumn(text_col, F.col("__text")).drop("__text")
+    return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

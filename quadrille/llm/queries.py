@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, exact_dedup, exact_topk, language_id, mixing, token_counts, toxicity, url_filters
+from quadrille.llm import bpe, exact_dedup, exact_topk, language_id, license_scan, mixing, ngram_join, token_counts, toxicity, url_filters
 from quadrille.llm.common import remainder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -31,15 +32,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
-def toxicity_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+def toxicity_index(spark: SparkSession, sf_dir: str) -> Broadcast:
+    """The index of the labelled rows that are not held out, for the executors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder("doc_id", 3) != 1)
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    n = labels.where(remainder("doc_id", 3) != 1).count()
-    share = min(1.0, toxicity.EXAMPLES / max(n, 1))
-    kept = labels.where(chosen < int(share * (1 << 30)) + 1)
-    few = kept.limit(2 * toxicity.EXAMPLES + 1).count() <= 2 * toxicity.EXAMPLES  # so the texts needn't be shuffled
-    return spark.sparkContext.broadcast(toxicity.fit(docs.join(F.broadcast(kept) if few else kept, "doc_id"), most=2 * toxicity.EXAMPLES))
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
+    return spark.sparkContext.broadcast(toxicity.fit(docs, labels))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +68,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix.*")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return exact_topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_language_id, op4_url_filters, op5_exact_dedup, op6_bpe, op7_mixing, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_language_id, op4_url_filters, op5_exact_dedup, op6_bpe, op7_mixing, op8_ngram_join, op9_license_scan, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,6 +108,17 @@ def oracle_sql() -> dict[str, str]:
             e as (select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as epochs from g),
             p as (select d.doc_id, d.size, e.source_size, e.target, e.epochs, floor(e.target)::bigint - e.epochs * e.source_size as rest, sum(d.size) over (partition by d.source order by key, doc_id) - d.size as before from d join e on d.source is not distinct from e.source)
             select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from p""",
+        "op8_ngram_join": r"""
+            with recursive words as (select doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as w from documents),
+            sets as (select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+            classes as (select min(doc_id) as id, s, len(s) as n from (select doc_id, list_sort(s) as s from sets where len(s) > 0) group by s),
+            one as (select id, n, unnest(s) as g from classes),
+            common as (select x.id as a, y.id as b, x.n + y.n as total, count(*) as shared from one x join one y on x.g = y.g and x.id < y.id and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n group by all),
+            links as (select a, b from common where 100 * shared >= 80 * (total - shared) union all select b, a from common where 100 * shared >= 80 * (total - shared)),
+            reach(id, other) as (select id, id from classes union select reach.id, b from reach join links on other = a),
+            least as (select id, min(other) as c from reach group by id),
+            named as (select list_sort(s) as s, c from least join classes using (id))
+            select doc_id, len(sets.s)::bigint as n_shingles, coalesce(c, doc_id) as component_id from sets left join named on list_sort(sets.s) = named.s""".replace("{upper}", url_filters.UPPER).replace("{lower}", url_filters.UPPER.lower()),
         "op10_exact_topk": """
             with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
             p as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),

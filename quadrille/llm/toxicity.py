@@ -138,12 +138,15 @@ class BlockMaxIndex:
         return self.rate if share is None else float(np.interp(share, *self.curve))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES) -> BlockMaxIndex:
-    """An index of at most about `most` rows of labelled (by hash of the id, so the same on every run)."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    n = rows.count()
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES) -> BlockMaxIndex:
+    """An index of about `most` of the labelled ids, chosen by their hash, so the same on every run; 3 / 2 of it at the very most."""
+    given = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+    n = given.count()
     share = min(1.0, most / n) if n else 1.0
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    chosen = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    if chosen.limit(most * 3 // 2 + 1).count() > most * 3 // 2:
+        raise ValueError(f"more than {most * 3 // 2} examples")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +164,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     index = BlockMaxIndex(examples)
     if not examples:
         return index
-    sent = labelled.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
     numbered = [([index.term[t] for t in tf if t in index.term], [c for t, c in tf.items() if t in index.term]) for tf, _ in examples]
     places = pa.table({"place": pa.array(range(len(examples)), pa.int32()), "terms": pa.array([t for t, _ in numbered], pa.list_(pa.int32())), "counts": pa.array([c for _, c in numbered], pa.list_(pa.int32()))})
     del examples, numbered
@@ -172,7 +175,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             votes = [sent.value.vote({names[i]: c for i, c in zip(t, n, strict=True)}, K, p) for p, t, n in zip(*(batch.column(x).to_pylist() for x in ("place", "terms", "counts")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(votes, pa.float64())], names=["place", "vote"])
 
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     spread = spark.createDataFrame(places).repartition(spark.sparkContext.defaultParallelism * 4)
     votes = {r["place"]: r["vote"] for r in map_batches(spread, left_out, "place int, vote double").collect()}
     given = [i for i in sorted(votes) if votes[i] is not None]
@@ -192,3 +195,13 @@ def classify(docs: DataFrame, index: Broadcast, id_col: str = "doc_id", text_col
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = map_batches(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, index: Broadcast, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score at least the threshold; columns and rows are as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([index.value.score(x) < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
