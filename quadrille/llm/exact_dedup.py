@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import fresh_path, written
 
+#: Digests that are sent to all executors, at most (64 characters each).
+FEW = 200_000
+
 
 def ledger(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(digest, id, size, locator): the locator is the file that holds the row; with the id it finds the content."""
@@ -69,13 +72,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hits = standing.where("group_size > 1").select("digest")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.sha2(text.cast("binary"), 256).alias("digest"), F.col(id_col).alias("id"), text.alias("text"))
-    # A semi-join keeps rows where they are if the hits are few, and is split where a digest is hot; sums over it combine before they shuffle.
-    differ = written(texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "collisions")
+    # Few hits (checked) go to the texts; else both are shuffled, and a hot digest is split. The least and greatest texts combine before they shuffle.
+    few = hits.limit(FEW + 1).count() <= FEW
+    differ = written(texts.join(F.broadcast(hits) if few else hits, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "collisions")
     every = spark.read.schema(rows.schema).parquet(f"{state}/ledger").select("digest", F.col("id").alias("own_id"))
     plain = every.join(standing.select("digest", "keep_id", "group_size"), "digest")
     out = plain.select("own_id", "digest", "keep_id", "group_size", (F.col("own_id") == F.col("keep_id")).alias("kept"))
     if not differ.isEmpty():
-        by_text = texts.join(F.broadcast(differ) if differ.limit(10_001).count() <= 10_000 else differ, "digest", "left_semi")
+        by_text = texts.join(F.broadcast(differ) if differ.limit(FEW + 1).count() <= FEW else differ, "digest", "left_semi")
         each = by_text.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
         exact = by_text.join(each, ["digest", "text"]).select(F.col("id").alias("own_id"), "digest", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"))
         out = out.join(differ, "digest", "left_anti").select(*exact.columns).unionByName(exact)
