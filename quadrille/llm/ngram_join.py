@@ -32,10 +32,12 @@ from quadrille.operators.components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
-#: Buckets of the frequency sketch (a task holds 4 bytes of each), and hot buckets that are sent to all tasks, at most.
-SKETCH, HOT = 1 << 22, 1 << 18
+#: Buckets of the frequency sketch (a task holds 2 bytes of each), the bits of a hash beside theirs, and hot buckets that are sent to all tasks, at most.
+SKETCH, BESIDE, HOT = 1 << 24, 40, 1 << 18
 #: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
+#: An odd factor for each place in a shingle.
+PLACES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Global orders besides the first.
 MORE_ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -79,8 +81,8 @@ def shingles(text: str | None) -> np.ndarray:
     n = min(SHINGLE, len(word))
     out = np.zeros(len(word) - n + 1, np.uint64)
     for i in range(n):
-        out = mixed(out + word[i : len(word) - n + 1 + i])
-    return np.unique(out)
+        out += word[i : len(word) - n + 1 + i] * np.uint64(PLACES[i])
+    return np.unique(mixed(out))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -127,7 +129,7 @@ def document_sets(slim: DataFrame) -> DataFrame:
     """[id, n, sid] of every row (sid null without shingles), and, with a null id and n of -1 or less, hot buckets of the sketch: sid the bucket, n minus its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts, total = set(), np.zeros(SKETCH, np.int32), 0
+        seen, counts, total = set(), np.zeros(SKETCH, np.uint16), 0
         kind = None
         for batch in batches:
             kind, sizes, ids, fresh, held = batch.column("id").type, [], [], [], 0
@@ -138,19 +140,19 @@ def document_sets(slim: DataFrame) -> DataFrame:
                 ids.append(sid)
                 if sid is not None and sid not in seen:  # copies within a task count once
                     seen.add(sid)
-                    fresh.append((s >> np.uint64(42)).astype(np.int32))
+                    fresh.append((s >> np.uint64(BESIDE)).astype(np.int64))
                     held += len(s)
                 if held > 1_000_000:
-                    counts += np.bincount(np.concatenate(fresh), minlength=SKETCH).astype(np.int32)
+                    np.add.at(counts, np.concatenate(fresh), np.uint16(1))
                     total, fresh, held = total + held, [], 0
             if len(seen) > 500_000:
                 seen.clear()
             if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=SKETCH).astype(np.int32)
+                np.add.at(counts, np.concatenate(fresh), np.uint16(1))
                 total += held
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["id", "n", "sid"])
         mean = total / SKETCH
-        at = np.flatnonzero(counts >= mean + 6 * mean**0.5 + 4)
+        at = np.flatnonzero(counts >= mean + 3 * mean**0.5 + 2)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(-counts[at].astype(np.int64)), pa.array(at.astype(np.int64))], names=["id", "n", "sid"])
 
@@ -163,18 +165,15 @@ def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, part
     hot = sc.broadcast((buckets, counts))  # HOT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(SKETCH, np.int64)
-        often[hot.value[0]] = hot.value[1]
-        level = np.zeros(SKETCH, np.uint64)
-        some = often > 0
-        level[some] = np.minimum(63, 1 + 2 * np.log2(np.maximum(often[some], 8) / 8)).astype(np.uint64)
-        salts = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(often, 1) / CHUNK)).clip(0, 30)).astype(np.int64)
+        level, doublings = np.zeros(SKETCH, np.uint8), np.zeros(SKETCH, np.uint8)
+        level[hot.value[0]] = np.minimum(63, 1 + 2 * np.log2(np.maximum(hot.value[1], 8) / 8))
+        doublings[hot.value[0]] = np.ceil(np.log2(np.maximum(hot.value[1], CHUNK) / CHUNK))
 
         def packed(tokens: list, sids: list, codes: list) -> Iterator[pa.RecordBatch]:
             token, n = np.concatenate(tokens), [len(t) for t in tokens]
             sid, code = np.repeat(np.array(sids, np.int64), n), np.repeat(np.array(codes, np.uint16), n)
-            m, bucket = mixed(token, 1), (token >> np.uint64(42)).astype(np.int64)
-            salt = salts[bucket]
+            m, bucket = mixed(token, 1), (token >> np.uint64(BESIDE)).astype(np.int64)
+            salt = np.int64(1) << doublings[bucket].astype(np.int64)
             code = code | np.where(salt > 1, np.uint16(1 << 15), np.uint16(0))
             part = ((m >> np.uint64(32)).astype(np.int64) + (sid & 0x7FFFFFFF) % salt * 7919) % parts
             order = np.argsort(part, kind="stable")
@@ -192,7 +191,7 @@ def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, part
                     continue
                 seen.add(sid)
                 p = prefix_size(len(s))
-                key = (level[(s >> np.uint64(42)).astype(np.int64)] << np.uint64(58)) | (mixed(s) >> np.uint64(6))
+                key = (level[(s >> np.uint64(BESIDE)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(s) >> np.uint64(6))
                 tokens.append(s[np.argpartition(key, p - 1)[:p]])
                 sids.append(sid)
                 codes.append(size_code(len(s)))
@@ -298,7 +297,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = written(document_sets(slim), "sets")
     sets = both.where("n >= 0")
-    sketch = both.where("n < 0").groupBy("sid").agg((-F.sum("n")).alias("n")).where("n >= 16").orderBy(F.desc("n"), "sid").limit(HOT).toArrow()
+    sketch = both.where("n < 0").groupBy("sid").agg((-F.sum("n")).alias("n")).where("n >= 8").orderBy(F.desc("n"), "sid").limit(HOT).toArrow()
     n_docs = sets.count()
     entries = index_entries(slim, sketch["n"].to_numpy(), sketch["sid"].to_numpy(), -(-n_docs // SHARE) + 15)
     lists = written(postings(entries), "postings")
