@@ -36,6 +36,8 @@ PERCENT = 80
 SKETCH, BESIDE, HOT = 1 << 24, 40, 1 << 18
 #: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
+#: Cells of a set's histogram.
+CELLS = 32
 #: An odd factor for each place in a shingle.
 PLACES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Global orders besides the first.
@@ -93,12 +95,16 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def size_code(n: int) -> int:
-    """A size on a scale of 0.2 %: sets of similarity PERCENT differ by at most FAR steps."""
-    return int(np.log(n) / np.log(1.002))
+def histogram(s: np.ndarray) -> bytes:
+    """Numbers of shingles by their hash modulo CELLS, a byte each (255: or more)."""
+    return np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-FAR = int(np.log(100 / PERCENT) / np.log(1.002)) + 2
+def may_link(n_a: np.ndarray, n_b: np.ndarray, h_a: np.ndarray, h_b: np.ndarray) -> np.ndarray:
+    """Whether the histograms leave room for the overlap that a link needs; sets share at most the lesser number of each cell."""
+    room = np.minimum(h_a, h_b).sum(1, dtype=np.int64)
+    full = (h_a == 255).any(1) | (h_b == 255).any(1)
+    return full | ((100 + PERCENT) * room >= PERCENT * (n_a + n_b))
 
 
 def share_prefix(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,7 +166,7 @@ def document_sets(slim: DataFrame) -> DataFrame:
 
 
 def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, parts: int) -> DataFrame:
-    """[part, tokens, sids, codes]: prefix shingles under the first order, packed for each partition of the index."""
+    """[part, tokens, sids, salted]: prefix shingles under the first order, packed for each partition of the index."""
     sc = slim.sparkSession.sparkContext
     hot = sc.broadcast((buckets, counts))  # HOT numbers at most
 
@@ -169,21 +175,21 @@ def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, part
         level[hot.value[0]] = np.minimum(63, 1 + 2 * np.log2(np.maximum(hot.value[1], 8) / 8))
         doublings[hot.value[0]] = np.ceil(np.log2(np.maximum(hot.value[1], CHUNK) / CHUNK))
 
-        def packed(tokens: list, sids: list, codes: list) -> Iterator[pa.RecordBatch]:
+        def packed(tokens: list, sids: list) -> Iterator[pa.RecordBatch]:
             token, n = np.concatenate(tokens), [len(t) for t in tokens]
-            sid, code = np.repeat(np.array(sids, np.int64), n), np.repeat(np.array(codes, np.uint16), n)
+            sid = np.repeat(np.array(sids, np.int64), n)
             m, bucket = mixed(token, 1), (token >> np.uint64(BESIDE)).astype(np.int64)
             salt = np.int64(1) << doublings[bucket].astype(np.int64)
-            code = code | np.where(salt > 1, np.uint16(1 << 15), np.uint16(0))
+            salted = (salt > 1).astype(np.uint8)
             part = ((m >> np.uint64(32)).astype(np.int64) + (sid & 0x7FFFFFFF) % salt * 7919) % parts
             order = np.argsort(part, kind="stable")
-            part, low, sid, code = part[order], m[order].astype(np.uint32), sid[order], code[order]
+            part, low, sid, salted = part[order], m[order].astype(np.uint32), sid[order], salted[order]
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             ends = np.append(cut[1:], len(part))
-            cols = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for x in (low, sid, code)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "tokens", "sids", "codes"])
+            cols = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for x in (low, sid, salted)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "tokens", "sids", "salted"])
 
-        seen, tokens, sids, codes, held = set(), [], [], [], 0
+        seen, tokens, sids, held = set(), [], [], 0
         for batch in batches:
             for text in texts_of(batch):
                 s = shingles(text)
@@ -194,42 +200,41 @@ def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, part
                 key = (level[(s >> np.uint64(BESIDE)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(s) >> np.uint64(6))
                 tokens.append(s[np.argpartition(key, p - 1)[:p]])
                 sids.append(sid)
-                codes.append(size_code(len(s)))
                 held += p
                 if held > 2_000_000:
-                    yield from packed(tokens, sids, codes)
-                    tokens, sids, codes, held = [], [], [], 0
+                    yield from packed(tokens, sids)
+                    tokens, sids, held = [], [], 0
             if len(seen) > 500_000:
                 seen.clear()
         if tokens:
-            yield from packed(tokens, sids, codes)
+            yield from packed(tokens, sids)
 
-    return map_batches(slim, run, "part bigint, tokens binary, sids binary, codes binary")
+    return map_batches(slim, run, "part bigint, tokens binary, sids binary, salted binary")
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """[token, chunk, sids, codes]: for every prefix shingle of two sets or more, the sets, CHUNK at most in a row."""
+    """[token, chunk, sids]: for every prefix shingle of two sets or more, the sets, CHUNK at most in a row."""
 
     def group(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        token, sid, code = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("tokens", "<u4"), ("sids", "<i8"), ("codes", "<u2")))
+        token, sid, salted = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("tokens", "<u4"), ("sids", "<i8"), ("salted", "u1")))
         order = np.lexsort((sid, token))
-        token, sid, code = token[order], sid[order], code[order]
+        token, sid, salted = token[order], sid[order], salted[order]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-        token, sid, code = token[new], sid[new], code[new]
+        token, sid, salted = token[new], sid[new], salted[new]
         first = np.concatenate([[True], token[1:] != token[:-1]])
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(token)))
-        salted = np.bitwise_or.reduceat(code >> 15, start) > 0
-        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        salted = np.bitwise_or.reduceat(salted, start) > 0
+        rows: list[tuple[int, int, np.ndarray]] = []
         for a, n, many in zip(start.tolist(), size.tolist(), salted.tolist(), strict=True):
             if n < 2 and not many:
                 continue
             key = int(token[a]) if many else (part + 1) << 32 | int(token[a])
-            rows += [(key, part << 20 | (lo - a) // CHUNK, sid[lo : min(lo + CHUNK, a + n)], code[lo : min(lo + CHUNK, a + n)] & 0x7FFF) for lo in range(a, a + n, CHUNK)]
-        return pa.table({"token": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "sids": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "codes": pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32()))})
+            rows += [(key, part << 20 | (lo - a) // CHUNK, sid[lo : min(lo + CHUNK, a + n)]) for lo in range(a, a + n, CHUNK)]
+        return pa.table({"token": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "sids": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
-    return entries.groupBy("part").applyInArrow(group, "token bigint, chunk bigint, sids array<bigint>, codes array<int>")
+    return entries.groupBy("part").applyInArrow(group, "token bigint, chunk bigint, sids array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,7 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaf = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "s").alias("g"), F.col("b").alias("sid"), F.lit(1).alias("leaf"))
     hub = spread.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("g"), F.col("a").alias("sid"), F.lit(0).alias("leaf"))
     n = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = leaf.unionByName(hub).join(texts, "sid").repartition(int(n), "a", "g").sortWithinPartitions("a", "g", "leaf")
+    rows = leaf.unionByName(hub).join(texts.select("sid", "text"), "sid").repartition(int(n), "a", "g").sortWithinPartitions("a", "g", "leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, np.uint64)
@@ -264,29 +269,39 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return often.groupBy("b").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("m.hub").alias("a"), "b")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct candidate pairs whose components (labels: [node, component]) differ, of every chunk and every pair of chunks of a posting."""
-    each = lists.select("token", "chunk", F.explode(F.arrays_zip("sids", "codes")).alias("e")).select("token", "chunk", F.col("e.sids").alias("sid"), F.col("e.codes").alias("code"))
-    named = each.join(labels, F.col("sid") == F.col("node"), "left").select("token", "chunk", F.struct("sid", "code", F.coalesce("component", "sid").alias("label")).alias("e"))
-    chunks = named.groupBy("token", "chunk").agg(F.collect_list("e").alias("es"), F.min("e.label").alias("lo"), F.max("e.label").alias("hi"))  # CHUNK rows a group at most
+def columns(sets: pa.StructArray) -> list[np.ndarray]:
+    """(sid, n, label, histogram) of a chunk's sets."""
+    plain = [sets.field(f).to_numpy(zero_copy_only=False) for f in ("sid", "n", "label")]
+    return [*plain, np.frombuffer(b"".join(sets.field("cells").to_pylist()), np.uint8).reshape(-1, CELLS)]
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct candidate pairs whose components (labels: [node, component]) differ and whose histograms leave room, of every chunk and every pair of chunks of a posting."""
+    each = lists.select("token", "chunk", F.explode("sids").alias("sid"))
+    known = texts.select("sid", "n", "cells").dropDuplicates(["sid"]).join(labels, F.col("sid") == F.col("node"), "left").select("sid", F.struct("sid", "n", "cells", F.coalesce("component", "sid").alias("label")).alias("e"))
+    open_ = each.join(known.select("sid", F.col("e.label").alias("label")), "sid").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    chunks = each.join(open_, "token", "left_semi").join(known, "sid").groupBy("token", "chunk").agg(F.collect_list("e").alias("es"))  # CHUNK rows a group at most
     chunks = written(chunks, "chunks")
-    alone = chunks.where("lo <> hi").select(F.col("es").alias("x"), F.array().cast(chunks.schema["es"].dataType).alias("y"))
-    l, r = (chunks.select("token", F.col("chunk").alias(f"{s}c"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"), F.col("es").alias(s)) for s in ("x", "y"))
-    cross = l.join(r, "token").where("xc < yc and not (xlo = xhi and ylo = yhi and xlo = ylo)").select("x", "y")
+    alone = chunks.select(F.col("es").alias("x"), F.array().cast(chunks.schema["es"].dataType).alias("y"))
+    l, r = (chunks.select("token", F.col("chunk").alias(f"{c}c"), F.col("es").alias(c)) for c in ("x", "y"))
+    several = chunks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    cross = l.join(several, "token", "left_semi").join(r, "token").where("xc < yc").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                x, y = ((v := batch.column(c)[i].values, *[v.field(f).to_numpy(zero_copy_only=False) for f in ("sid", "code", "label")])[1:] for c in ("x", "y"))
+                x, y = (columns(batch.column(c)[i].values) for c in ("x", "y"))
                 same = not len(y[0])
                 y = x if same else y
                 for lo in range(0, len(x[0]), 256):
-                    open_ = (x[2][lo : lo + 256, None] != y[2]) & (np.abs(x[1][lo : lo + 256, None] - y[1]) <= FAR)
-                    if same:
-                        open_ &= x[0][lo : lo + 256, None] < y[0]
-                    p, q = np.nonzero(open_)
-                    if len(p):
-                        a, b = x[0][lo + p], y[0][q]
+                    part = [c[lo : lo + 256] for c in x]
+                    apart = part[2][:, None] != y[2]
+                    p, q = np.nonzero(apart & (part[0][:, None] < y[0]) if same else apart)
+                    fit = 100 * np.minimum(part[1][p], y[1][q]) >= PERCENT * np.maximum(part[1][p], y[1][q])
+                    p, q = p[fit], q[fit]
+                    fit = may_link(part[1][p], y[1][q], part[3][p], y[3][q])
+                    if fit.any():
+                        a, b = part[0][p[fit]], y[0][q[fit]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return map_batches(alone.unionByName(cross), run, "a bigint, b bigint").distinct()
@@ -306,12 +321,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # an id that is repeated may have other texts as well
-            yield batch.filter(pa.array([set_id(shingles(t)) == s for t, s in zip(texts_of(batch), batch.column("sid").to_pylist(), strict=True)], pa.bool_()))
+            sets = list(map(shingles, texts_of(batch)))
+            own = pa.array([set_id(s) == sid for s, sid in zip(sets, batch.column("sid").to_pylist(), strict=True)], pa.bool_())
+            out = [batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(histogram, sets)), pa.binary()), batch.column("text")]
+            yield pa.RecordBatch.from_arrays(out, names=["sid", "n", "cells", "text"]).filter(own)
 
     found = slim.join(wanted, F.col("id") == F.col("rep")).select("sid", "text")
-    texts = written(map_batches(found, own, "sid bigint, text string"), "texts")
+    texts = written(map_batches(found, own, "sid bigint, n bigint, cells binary, text string"), "texts")
     links = written(verified(star_pairs(lists), texts), "links")
-    rest = verified(open_pairs(lists, connected_components(links)), texts)
+    rest = verified(open_pairs(lists, connected_components(links), texts), texts)
     labels = connected_components(links.unionByName(rest))
     least = classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
     names = least.groupBy("label").agg(F.min("rep").alias("component_id"))
