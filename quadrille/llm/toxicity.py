@@ -2,8 +2,10 @@
 
 Up to EXAMPLES labelled texts are kept as an inverted index: for each term its postings in the order of the
 examples, which stand in blocks of BLOCK, and for each term and block the greatest weight (the block
-maximum). A text's terms and these maxima bound its cosine with every example of a block; blocks are
-scored exactly in the order of their bounds until none can hold one of the K nearest. The K nearest vote,
+maximum). Postings of frequent terms, which nearly every block has, are dense columns, and a batch of texts
+multiplies them at once. A text's other terms and the block maxima bound its cosine with every example of a
+block; the blocks of the greatest bounds are scored exactly, and then those that can still hold one of the
+K nearest. The K nearest vote,
 weighted by 1 / distance; the share of toxic votes is turned into a probability by an isotonic fit on the
 examples themselves, each left out of its own vote. The neighbours are the evidence.
 
@@ -24,15 +26,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_batches, texts_of
+from quadrille.llm.common import map_batches, texts_of, written
 
 #: Labelled examples that are kept, at most: the bound of the fitting sample (chosen by hash).
 EXAMPLES = 8192
 #: Examples in a block of the index.
 BLOCK = 64
 K = 31
+#: Terms of more than this share of the examples have dense postings.
+DENSE_SHARE = 1 / 10
+#: Texts that are scored at once.
+BATCH = 64
 #: Terms must be in this share of the examples, and in two of them.
-LEAST_SHARE = 0.001
+LEAST_SHARE = 0.0015
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -42,30 +48,45 @@ def terms(text: str) -> Counter[str]:
 
 
 class BlockMaxIndex:
-    """examples: (terms with counts, label), in the order of their ids."""
+    """Examples in the order of their ids, as flat arrays: terms (numbers in the vocabulary) and counts, `sizes` of them an example."""
 
-    def __init__(self, examples: list[tuple[dict[str, int], int]], share: float = LEAST_SHARE) -> None:
-        n = len(examples)
-        df = Counter(t for tf, _ in examples for t in tf)
-        known = sorted(t for t, d in df.items() if d >= max(2, share * n))
-        self.term = {t: i for i, t in enumerate(known)}
-        self.idf = np.array([np.log((n + 1) / df[t]) for t in known], np.float32)
-        self.labels = np.array([y for _, y in examples], np.float64)
+    def __init__(self, vocabulary: list[str], df: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        n = len(labels)
+        self.term = {t: i for i, t in enumerate(vocabulary)}
+        self.idf = np.log((n + 1) / df).astype(np.float32)
+        self.labels = labels.astype(np.float64)
         self.n_blocks = -(-n // BLOCK)
-        rows = [self.vector(tf) for tf, _ in examples]
-        t = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64)
-        d = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-        w = np.concatenate([r[1] for r in rows]) if rows else np.empty(0, np.float32)
-        order = np.lexsort((d, t))
-        self.doc, self.weight = d[order].astype(np.int32), w[order]
-        block = t[order] * self.n_blocks + self.doc // BLOCK
-        self.start = np.searchsorted(block, np.arange(len(known) * self.n_blocks + 1)).astype(np.int32)
-        self.maxima = np.zeros(len(known) * self.n_blocks, np.float32)
-        np.maximum.at(self.maxima, block, self.weight)
-        self.maxima = self.maxima.reshape(len(known), self.n_blocks)
+        doc = np.repeat(np.arange(n), sizes)
+        w = (1 + np.log(count)).astype(np.float32) * self.idf[at]
+        norm = np.sqrt(np.bincount(doc, w * w, n)).astype(np.float32)
+        w = w / np.maximum(norm, np.float32(1e-9))[doc]
+        often = np.flatnonzero(df > DENSE_SHARE * n)
+        self.column = np.full(len(vocabulary), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[at] >= 0
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(often)), np.float32)
+        self.dense[doc[dense], self.column[at[dense]]] = w[dense]
+        doc, at, w = doc[~dense], at[~dense], w[~dense]
+        order = np.lexsort((doc, at))
+        self.doc, self.weight = doc[order].astype(np.int32), w[order]
+        block = at[order].astype(np.int64) * self.n_blocks + self.doc // BLOCK
+        self.start = np.searchsorted(block, np.arange(len(vocabulary) * self.n_blocks + 1)).astype(np.int32)
+        maxima = np.zeros(len(vocabulary) * self.n_blocks, np.float32)
+        np.maximum.at(maxima, block, self.weight)
+        self.maxima = maxima.reshape(len(vocabulary), self.n_blocks)
         self.rate = float(self.labels.mean()) if n else 0.0
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
 
+    @staticmethod
+    def of(examples: list[tuple[dict[str, int], int]], share: float = LEAST_SHARE) -> BlockMaxIndex:
+        """From (terms with counts, label) in memory."""
+        df = Counter(t for tf, _ in examples for t in tf)
+        known = sorted(t for t, d in df.items() if d >= max(2, share * len(examples)))
+        number = {t: i for i, t in enumerate(known)}
+        rows = [[(number[t], c) for t, c in tf.items() if t in number] for tf, _ in examples]
+        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
+        return BlockMaxIndex(known, np.array([df[t] for t in known], np.float64), np.array([y for _, y in examples], np.float64), np.array([len(r) for r in rows], np.int64), flat[:, 0], flat[:, 1])
+
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of length 1: (1 + log tf) * idf."""
         term = self.term
@@ -73,38 +94,65 @@ class BlockMaxIndex:
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.float32)
         at, count = np.array(found, np.int64).T
-        w = (1 + np.log(count)).astype(np.float32) * self.idf[at]
-        norm = float(np.sqrt(w @ w))
-        return (at, w / np.float32(norm)) if norm > 0 else (np.empty(0, np.int64), np.empty(0, np.float32))
+        return at, self.weighed(at, count)
 
-    def nearest(self, tf: dict[str, int], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine (> 0) and their cosines, exactly."""
-        at, w = self.vector(tf)
+    def weighed(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = w @ self.maxima[at]
+            return np.empty(0, np.float32)
+        w = (1 + np.log(count)).astype(np.float32) * self.idf[at]
+        return w / np.float32(max(float(np.sqrt(w @ w)), 1e-9))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (terms, weights) the k examples of greatest cosine (> 0), and their cosines, exactly."""
+        out, n = [], len(self.labels)
+        for lo in range(0, len(vectors), BATCH):
+            some = vectors[lo : lo + BATCH]
+            q = np.zeros((len(some), self.dense.shape[1]), np.float32)
+            for i, (at, w) in enumerate(some):
+                c = self.column[at]
+                q[i, c[c >= 0]] = w[c >= 0]
+            scores = q @ self.dense.T
+            tops = scores.reshape(len(some), self.n_blocks, BLOCK).max(2)
+            for i, (at, w) in enumerate(some):
+                rare = self.column[at] < 0
+                score = self.finished(scores[i], tops[i], at[rare], w[rare], k, without[lo + i] if without else -1)
+                best = self.first(score[:n], min(k, n)) if n else np.empty(0, np.int64)
+                best = best[score[best] > 0]
+                out.append((best, np.minimum(score[best], 1.0)))
+        return out
+
+    def finished(self, score: np.ndarray, top: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int) -> np.ndarray:
+        """Adds the other terms' postings, for the blocks that can matter; examples of the other blocks get -inf."""
+        bound = top + w @ self.maxima[at] if len(at) else top
+        if without >= 0:
+            score[without] = -np.inf
         order = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.n_blocks * BLOCK)
-        kth, done, step = -1.0, 0, max(1, k // BLOCK + 1)
-        base = at * self.n_blocks
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] * (1 + 1e-5) >= kth:
-            blocks = order[done : done + step]
-            blocks = blocks[bound[blocks] > 0]
-            done += step
-            step *= 2
-            lo = self.start[base[:, None] + blocks]
-            size = self.start[base[:, None] + blocks + 1] - lo
-            flat = size.ravel()
-            total = int(flat.sum())
-            where = np.arange(total) + np.repeat(lo.ravel() - (np.cumsum(flat) - flat), flat)
-            score += np.bincount(self.doc[where], self.weight[where] * np.repeat(np.repeat(w, len(blocks)), flat), len(score))
-            if without >= 0:
-                score[without] = 0
-            if len(score) > k:
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-        best = np.argsort(-score, kind="stable")[:k] if len(score) <= 4 * k else self.first(score, k)
-        best = best[score[best] > 0]
-        return best, np.minimum(score[best], 1.0)
+        out = np.full(len(score), -np.inf, np.float32)
+        first = max(-(-4 * k // BLOCK), self.n_blocks // 4)
+        self.add(out, score, order[:first], at, w)
+        kth = np.partition(out, len(out) - k)[len(out) - k] if len(out) > k else -np.inf
+        rest = order[first:]
+        self.add(out, score, rest[bound[rest] * (1 + 1e-5) + 1e-6 >= kth], at, w)
+        return out
+
+    def add(self, out: np.ndarray, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        if not len(blocks):
+            return
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        out[rows] = score[rows]
+        if not len(at):
+            return
+        if len(blocks) == self.n_blocks:
+            lo, size, owner = self.start[at * self.n_blocks], self.start[(at + 1) * self.n_blocks] - self.start[at * self.n_blocks], w
+        else:
+            cell = (at * self.n_blocks)[:, None] + blocks
+            lo = self.start[cell]
+            size = (self.start[cell + 1] - lo).ravel()
+            there = np.flatnonzero(size)
+            lo, size, owner = lo.ravel()[there], size[there], w[there // len(blocks)]
+        total = int(size.sum())
+        where = np.arange(total) + np.repeat(lo - (np.cumsum(size) - size), size)
+        out += np.bincount(self.doc[where], self.weight[where] * np.repeat(owner, size), len(out)).astype(np.float32)
 
     @staticmethod
     def first(score: np.ndarray, k: int) -> np.ndarray:
@@ -113,13 +161,13 @@ class BlockMaxIndex:
         some = np.flatnonzero(score >= least)
         return some[np.argsort(-score[some], kind="stable")[:k]]
 
-    def vote(self, tf: dict[str, int], k: int = K, without: int = -1) -> float | None:
-        """The share of toxic votes."""
-        near, cosine = self.nearest(tf, k, without)
-        if not len(near):
-            return None
-        w = 1 / np.maximum(1 - cosine, 1e-3)
-        return float(w @ self.labels[near] / w.sum())
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[float | None]:
+        """Each vector's share of toxic votes; None without a neighbour."""
+        out: list[float | None] = []
+        for near, cosine in self.nearest(vectors, k, without):
+            w = 1 / np.maximum(1 - cosine, 1e-3)
+            out.append(float(w @ self.labels[near] / w.sum()) if len(near) else None)
+        return out
 
     def calibrate(self, votes: list[float], labels: list[float]) -> None:
         """Isotonic regression of the labels on the votes (pooled adjacent violators)."""
@@ -133,9 +181,11 @@ class BlockMaxIndex:
         if pools:
             self.curve = [p[2] / p[1] for p in pools], [(p[0] + 0.5 * self.rate) / (p[1] + 0.5) for p in pools]
 
-    def score(self, text: str | None, k: int = K) -> float:
-        share = self.vote(terms(text), k) if text and len(self.labels) else None
-        return self.rate if share is None else float(np.interp(share, *self.curve))
+    def scores(self, texts: list[str], k: int = K) -> list[float]:
+        if not len(self.labels):
+            return [self.rate] * len(texts)
+        shares = self.votes([self.vector(terms(x)) for x in texts], k)
+        return [self.rate if s is None else float(np.interp(s, *self.curve)) for s in shares]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES) -> BlockMaxIndex:
@@ -157,30 +207,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    counted = map_batches(rows, count, f"id {kind}, label int, terms array<string>, counts array<int>").toArrow()
-    counted = counted.take(np.array(sorted(range(len(counted)), key=lambda i: (counted["id"][i].as_py() is None, counted["id"][i].as_py())), np.int64))
-    examples = [(dict(zip(t, c, strict=True)), y) for t, c, y in zip(counted["terms"].to_pylist(), counted["counts"].to_pylist(), counted["label"].to_pylist(), strict=True)]
-    del counted
-    index = BlockMaxIndex(examples)
-    if not examples:
+    counted = written(map_batches(rows, count, f"id {kind}, label int, terms array<string>, counts array<int>"), "toxicity-terms")
+    n = counted.count()
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, LEAST_SHARE * n)).orderBy("term").toArrow()
+    vocabulary = df["term"].to_pylist()  # at most 1 / LEAST_SHARE times an example's mean number of terms
+    sc = docs.sparkSession.sparkContext
+    sent_terms = sc.broadcast({t: i for i, t in enumerate(vocabulary)})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent_terms.value
+        for batch in batches:
+            pairs = [[(known[t], c) for t, c in zip(ts, cs, strict=True) if t in known] for ts, cs in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            ints = lambda j: pa.array([[p[j] for p in x] for x in pairs], pa.list_(pa.int32()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), ints(0), ints(1)], names=["id", "label", "terms", "counts"])
+
+    got = map_batches(counted, number, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.empty(0, np.int64)
+    index = BlockMaxIndex(vocabulary, df["n"].to_numpy().astype(np.float64), got["label"].to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), flat("terms"), flat("counts"))
+    if not len(index.labels):
         return index
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    numbered = [([index.term[t] for t in tf if t in index.term], [c for t, c in tf.items() if t in index.term]) for tf, _ in examples]
-    places = pa.table({"place": pa.array(range(len(examples)), pa.int32()), "terms": pa.array([t for t, _ in numbered], pa.list_(pa.int32())), "counts": pa.array([c for _, c in numbered], pa.list_(pa.int32()))})
-    del examples, numbered
+    sent = sc.broadcast(index)
+    places = pa.table({"place": pa.array(range(got.num_rows), pa.int32()), "terms": got["terms"], "counts": got["counts"]})
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(sent.value.term, key=sent.value.term.get)
+        own = sent.value
         for batch in batches:
-            votes = [sent.value.vote({names[i]: c for i, c in zip(t, n, strict=True)}, K, p) for p, t, n in zip(*(batch.column(x).to_pylist() for x in ("place", "terms", "counts")), strict=True)]
+            ats = [t.values.to_numpy().astype(np.int64) for t in batch.column("terms")]
+            vectors = [(at, own.weighed(at, c.values.to_numpy())) for at, c in zip(ats, batch.column("counts"), strict=True)]
+            votes = own.votes(vectors, K, batch.column("place").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(votes, pa.float64())], names=["place", "vote"])
 
-    spark = docs.sparkSession
-    spread = spark.createDataFrame(places).repartition(spark.sparkContext.defaultParallelism * 4)
+    spread = docs.sparkSession.createDataFrame(places).repartition(sc.defaultParallelism * 4)
     votes = {r["place"]: r["vote"] for r in map_batches(spread, left_out, "place int, vote double").collect()}
     given = [i for i in sorted(votes) if votes[i] is not None]
     index.calibrate([votes[i] for i in given], [index.labels[i] for i in given])
     sent.destroy()
+    sent_terms.destroy()
     return index
 
 
@@ -189,7 +252,7 @@ def classify(docs: DataFrame, index: Broadcast, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [index.value.score(x) for x in batch.column("text").to_pylist()]
+            s = index.value.scores(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], names=["id", "score"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -202,6 +265,6 @@ def keep_clean(docs: DataFrame, index: Broadcast, text_col: str = "text", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([index.value.score(x) < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in index.value.scores(texts_of(batch, text_col))], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
