@@ -149,15 +149,19 @@ def star(ctx: Context, subject: object, triples: list[Triple]) -> Rel | None:
     """Patterns of one subject, folded into one scan of each table that answers all of them; None if they can't be."""
     if not isinstance(ctx.data, MappedTables) or ctx.graph_var or ctx.scope.default is not None or any(not isinstance(t.p, Term) or isinstance(t.o, Quoted) for t in triples):
         return None
-    types = [t for t in triples if t.p.lex == RDF_TYPE]
-    others = [t for t in triples if t.p.lex != RDF_TYPE]
-    wanted = {t.o.lex for t in types if isinstance(t.o, Term)}
-    if len(wanted) > 1:
-        return None
-    found = ctx.data.candidates([t.p.lex for t in others], next(iter(wanted), None), ctx.graph)
-    if isinstance(subject, Term):
-        found = [c for c in found if subject.lex.startswith(c.prefix)]
-    rels = [fold(c, subject, others, types) for c in found]
+    by_prefix: dict[str, list[ClassMap]] = {}
+    for c in ctx.data.classes:
+        if c.graph == ctx.graph and not (isinstance(subject, Term) and not subject.lex.startswith(c.prefix)):
+            by_prefix.setdefault(c.prefix, []).append(c)
+    rels = []
+    for classes in by_prefix.values():
+        groups: dict[tuple[str, ...], list[Triple]] = {}
+        for t in triples:
+            own = tuple(c.name for c in classes if answers(c, t))
+            groups.setdefault(own, []).append(t)
+        if () not in groups:
+            named = {c.name: c for c in classes}
+            rels.append(reduce(join, [reduce(union, [fold(named[n], subject, ts) for n in own]) for own, ts in groups.items()]))
     if not rels:
         names = set().union(*map(variables, triples))
         cols = {n: fresh(n) for n in names}
@@ -166,7 +170,15 @@ def star(ctx: Context, subject: object, triples: list[Triple]) -> Rel | None:
     return reduce(union, rels)
 
 
-def fold(c: ClassMap, subject: object, others: list[Triple], types: list[Triple]) -> Rel:
+def answers(c: ClassMap, t: Triple) -> bool:
+    """Whether a table's rows can have a pattern's triple."""
+    if t.p.lex == RDF_TYPE:
+        return not isinstance(t.o, Term) or t.o.lex == c.cls
+    return t.p.lex in c.properties
+
+
+def fold(c: ClassMap, subject: object, triples: list[Triple]) -> Rel:
+    types, others = [t for t in triples if t.p.lex == RDF_TYPE], [t for t in triples if t.p.lex != RDF_TYPE]
     table = c.table()
     prefix = fresh("row") + "_"
     df = table.select(*[F.col(x).alias(prefix + x) for x in table.columns], F.expr(c.key).alias(prefix + "@key"))
@@ -249,12 +261,17 @@ class Pairs:
     def flipped(self) -> Pairs:
         return Pairs(self.df.select(F.col("o").alias("s"), F.col("s").alias("o")), self.o, self.s)
 
+    def strings(self) -> Pairs:
+        return Pairs(self.df.select(lexical(Value(F.col("s"), self.s)).alias("s"), lexical(Value(F.col("o"), self.o)).alias("o")), IRI_T, IRI_T)
+
     def generic(self) -> Pairs:
         return Pairs(self.df.select(as_term(Value(F.col("s"), self.s)).alias("s"), as_term(Value(F.col("o"), self.o)).alias("o")), TERM, TERM)
 
 
 def alike(*ps: Pairs) -> list[Pairs]:
-    return list(ps) if len({(p.s, p.o) for p in ps}) == 1 else [p.generic() for p in ps]
+    if len({(p.s, p.o) for p in ps}) == 1:
+        return list(ps)
+    return [p.strings() if all(x.s.kind == x.o.kind == "iri" for x in ps) else p.generic() for p in ps]
 
 
 def edges(ctx: Context, path: object) -> Pairs:

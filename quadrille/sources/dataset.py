@@ -103,9 +103,6 @@ class MappedTables:
         self.spark, self.classes = spark, classes
         self._quads: QuadTable | None = None
 
-    def candidates(self, predicates: list[str], cls: str | None, graph: str | None) -> list[ClassMap]:
-        return [c for c in self.classes if c.graph == graph and (cls is None or c.cls == cls) and all(p in c.properties for p in predicates)]
-
     @property
     def quads(self) -> DataFrame:
         return self.as_quads().quads
