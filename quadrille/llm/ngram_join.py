@@ -7,10 +7,10 @@ distributed inverted index; candidates must also share prefix shingles under fur
 hashes) before their sets are compared in full. Any order is exact, so the sketch bears on speed only.
 
 Groups of copies never become pairs: equal sets are one class, known by the set's digest. Near copies are
-joined in two rounds: first every set is compared with one hub, the set that it shares most postings with;
-sets that this joins need no more comparison among themselves, so the second round compares exactly the
-candidates whose components still differ. All links between components are found: the components are
-exact. Postings are cut in chunks, hot ones salted over several tasks, and compared chunk by chunk.
+first gathered: sets stand in small groups by their hub, the set that each shares most postings with, and
+links within a group make components. Members of one component need no comparison among themselves, so
+the second step compares exactly the candidates whose components still differ. All links between
+components are found: the components are exact. Postings are cut in chunks, hot ones salted over several tasks, and compared chunk by chunk.
 
 Defined results: A-Z are lower-cased; with fewer than SHINGLE words the whole sequence is the one shingle;
 null, empty and blank texts have no shingle, link with nothing and are a component of their own id. Rows
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import map_batches, texts_of, written
@@ -36,6 +36,8 @@ PERCENT = 80
 SKETCH, BESIDE, HOT = 1 << 24, 40, 1 << 18
 #: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
+#: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
+TRIES, PICKED, MOST_TURNS = 48, 16, 6
 #: Cells of a set's histogram.
 CELLS = 32
 #: An odd factor for each place in a shingle.
@@ -124,13 +126,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)) or not share_prefix(a, b):
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the overlap makes a link."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
     both = overlap(a, b)
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The further orders' filters, then the overlap."""
+    return 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)) and share_prefix(a, b) and alike(a, b)
+
+
 def document_sets(slim: DataFrame) -> DataFrame:
     """[id, n, sid] of every row (sid null without shingles), and, with a null id and n of -1 or less, hot buckets of the sketch: sid the bucket, n minus its count."""
 
@@ -261,12 +269,64 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(rows.select("a", "g", "sid", "leaf", "text"), run, "a bigint, b bigint")
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """One pair a set at most: with the hub (the least set of a posting) that it shares most postings with."""
-    hubs = lists.groupBy("token").agg(F.min(F.array_min("sids")).alias("hub"))
-    each = lists.join(hubs, "token").select("hub", F.explode("sids").alias("b")).where("hub <> b")
-    often = each.groupBy("b", "hub").agg(F.count("*").alias("n"))
-    return often.groupBy("b").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("m.hub").alias("a"), "b")
+def hubs(lists: DataFrame) -> DataFrame:
+    """[hub, sid]: each set beside the hub (the least set of a posting) that it shares most postings with, and each hub beside itself."""
+    least = lists.groupBy("token").agg(F.min(F.array_min("sids")).alias("hub"))
+    each = lists.join(least, "token").select("hub", F.explode("sids").alias("sid")).where("hub <> sid")
+    often = each.groupBy("sid", "hub").agg(F.count("*").alias("n"))
+    best = often.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("m.hub").alias("hub"), "sid")
+    return best.unionByName(best.select("hub", F.col("hub").alias("sid")).distinct())
+
+
+def near_links(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """[a, b]: some links among the sets of a hub, found in groups of about LEAVES: each set is held against up to TRIES sets of the components so far."""
+    spread = members.groupBy("hub").agg(F.ceil(F.count("*") / LEAVES).cast("long").alias("s"))
+    rows = members.join(spread, "hub").select("hub", F.pmod(F.xxhash64("sid", F.lit(turn)), "s").alias("g"), "sid").join(texts.select("sid", "text"), "sid")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "hub", "g").sortWithinPartitions("hub", "g", "sid").select("hub", "g", "sid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for hub, g, sid, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "g", "sid", "text")), strict=True):
+                if at != (hub, g):
+                    at, parts = (hub, g), []
+                own, tries, met = shingles(text), 0, []
+                for part in sorted(parts, key=len, reverse=True):
+                    for other, s in part[-(TRIES // 2) :]:
+                        if tries >= TRIES:
+                            break
+                        tries += 1
+                        if alike(own, s):
+                            out.append((other, sid))
+                            met.append(part)
+                            break
+                parts = [p for p in parts if not any(p is m for m in met)] + [[x for m in met for x in m] + [(sid, own)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return map_batches(rows, run, "a bigint, b bigint")
+
+
+def gathered(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """[node, component]: sets that are surely connected, so that large groups of near copies need no comparison of all their pairs.
+
+    After the first turn a hub keeps PICKED sets of each component, and they are grouped anew, as long as a hub has
+    several groups. Links that this misses are found by open_pairs.
+    """
+    every = written(hubs(lists), "hubs")
+    members, links, labels = every, None, None
+    for turn in range(MOST_TURNS):
+        found = written(near_links(members, texts, turn), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = written(connected_components(links), "labels")
+        several = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("hub")
+        if several.isEmpty():
+            break
+        named = every.join(several, "hub", "left_semi").join(labels, F.col("sid") == F.col("node"), "left").select("hub", "sid", F.coalesce("component", "sid").alias("label"))
+        order = Window.partitionBy("hub", "label").orderBy(F.xxhash64("sid", F.lit(turn)))
+        members = written(named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PICKED).select("hub", "sid"), "hubs")
+    return labels
 
 
 def columns(sets: pa.StructArray) -> list[np.ndarray]:
@@ -328,9 +388,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     found = slim.join(wanted, F.col("id") == F.col("rep")).select("sid", "text")
     texts = written(map_batches(found, own, "sid bigint, n bigint, cells binary, text string"), "texts")
-    links = written(verified(star_pairs(lists), texts), "links")
-    rest = verified(open_pairs(lists, connected_components(links), texts), texts)
-    labels = connected_components(links.unionByName(rest))
+    sure = gathered(lists, texts)
+    rest = verified(open_pairs(lists, sure, texts), texts)
+    labels = connected_components(sure.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
     least = classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
     names = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = written(least.join(names, "label").select("sid", "component_id"), "components")
