@@ -11,7 +11,7 @@ examples themselves, each left out of its own vote. The neighbours are the evide
 
 Defined results: null and empty texts, and texts without a known term, get the examples' rate of label 1;
 with no examples at all the score is 0. Rows of the labels without a label are not learned from; if an id
-has several, the greatest holds. Ties between neighbours go to the earlier example (the smaller id).
+has several, the greatest holds. Ties between neighbours go to the earlier place in the index, which rows alone decide.
 """
 
 from __future__ import annotations
@@ -48,19 +48,29 @@ def terms(text: str) -> Counter[str]:
 
 
 class BlockMaxIndex:
-    """Examples in the order of their ids, as flat arrays: terms (numbers in the vocabulary) and counts, `sizes` of them an example."""
+    """Examples in the order of their ids, as flat arrays: terms (numbers in the vocabulary) and counts, `sizes` of them an example. order[i]: which of them stands at place i."""
 
     def __init__(self, vocabulary: list[str], df: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
         n = len(labels)
+        # Examples stand by their weightiest frequent term, so that a block's are alike and its maxima tell; then as they came.
+        frequent = df > DENSE_SHARE * n
+        doc = np.repeat(np.arange(n), sizes)
+        first = np.full(n, -1, np.int64)
+        some = np.flatnonzero(frequent[at])
+        some = some[np.lexsort(((1 + np.log(count[some])) * np.log((n + 1) / df[at[some]]), doc[some]))]
+        first[doc[some]] = at[some]
+        self.order = np.lexsort((np.arange(n), first))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        labels, doc = labels[self.order], place[doc]
         self.term = {t: i for i, t in enumerate(vocabulary)}
         self.idf = np.log((n + 1) / df).astype(np.float32)
         self.labels = labels.astype(np.float64)
         self.n_blocks = -(-n // BLOCK)
-        doc = np.repeat(np.arange(n), sizes)
         w = (1 + np.log(count)).astype(np.float32) * self.idf[at]
         norm = np.sqrt(np.bincount(doc, w * w, n)).astype(np.float32)
         w = w / np.maximum(norm, np.float32(1e-9))[doc]
-        often = np.flatnonzero(df > DENSE_SHARE * n)
+        often = np.flatnonzero(frequent)
         self.column = np.full(len(vocabulary), -1, np.int64)
         self.column[often] = np.arange(len(often))
         dense = self.column[at] >= 0
@@ -126,32 +136,57 @@ class BlockMaxIndex:
         bound = top + w @ self.maxima[at] if len(at) else top
         if without >= 0:
             score[without] = -np.inf
-        order = np.argsort(-bound, kind="stable")
         out = np.full(len(score), -np.inf, np.float32)
-        first = max(-(-4 * k // BLOCK), self.n_blocks // 4)
-        self.add(out, score, order[:first], at, w)
+        some = max(-(-4 * k // BLOCK), self.n_blocks // 16)
+        order = np.argpartition(-bound, some) if some < self.n_blocks else np.arange(self.n_blocks)
+        self.add(out, score, order[:some], at, w)
         kth = np.partition(out, len(out) - k)[len(out) - k] if len(out) > k else -np.inf
-        rest = order[first:]
-        self.add(out, score, rest[bound[rest] * (1 + 1e-5) + 1e-6 >= kth], at, w)
+        rest = order[some:]
+        rest = rest[bound[rest] * (1 + 1e-5) + 1e-6 >= kth]
+        if 4 * len(rest) > self.n_blocks:  # whole postings are cheaper than many pieces of them
+            out[self.rows(rest)] = -np.inf
+            self.add_whole(out, score, np.concatenate([order[:some], rest]), at, w)
+        else:
+            self.add(out, score, rest, at, w)
         return out
 
+    @staticmethod
+    def rows(blocks: np.ndarray) -> np.ndarray:
+        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+
+    def add_whole(self, out: np.ndarray, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        """Exact scores of the blocks from the terms' whole postings."""
+        rows = self.rows(blocks)
+        out[rows] = score[rows]
+        if not len(at):
+            return
+        cut = self.__dict__.setdefault("_cut", {})
+        lists = []
+        for t in at.tolist():
+            if t not in cut:
+                lo, hi = self.start[t * self.n_blocks], self.start[(t + 1) * self.n_blocks]
+                cut[t] = self.doc[lo:hi].astype(np.int64), self.weight[lo:hi]
+            lists.append(cut[t])
+        weights = np.concatenate([x[1] for x in lists]) * np.repeat(w, [len(x[0]) for x in lists])
+        out += np.bincount(np.concatenate([x[0] for x in lists]), weights, len(out)).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_cut"}
+
     def add(self, out: np.ndarray, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        """Exact scores of a few blocks, from the pieces of the postings that lie in them."""
         if not len(blocks):
             return
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = self.rows(blocks)
         out[rows] = score[rows]
         if not len(at):
             return
-        if len(blocks) == self.n_blocks:
-            lo, size, owner = self.start[at * self.n_blocks], self.start[(at + 1) * self.n_blocks] - self.start[at * self.n_blocks], w
-        else:
-            cell = (at * self.n_blocks)[:, None] + blocks
-            lo = self.start[cell]
-            size = (self.start[cell + 1] - lo).ravel()
-            there = np.flatnonzero(size)
-            lo, size, owner = lo.ravel()[there], size[there], w[there // len(blocks)]
-        total = int(size.sum())
-        where = np.arange(total) + np.repeat(lo - (np.cumsum(size) - size), size)
+        cell = (at * self.n_blocks)[:, None] + blocks
+        lo = self.start[cell]
+        size = (self.start[cell + 1] - lo).ravel()
+        there = np.flatnonzero(size)
+        lo, size, owner = lo.ravel()[there], size[there], w[there // len(blocks)]
+        where = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
         out += np.bincount(self.doc[where], self.weight[where] * np.repeat(owner, size), len(out)).astype(np.float32)
 
     @staticmethod
@@ -232,16 +267,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        place_of = np.argsort(own.order)
         for batch in batches:
+            own_place = place_of[batch.column("place").to_numpy()]
             ats = [t.values.to_numpy().astype(np.int64) for t in batch.column("terms")]
             vectors = [(at, own.weighed(at, c.values.to_numpy())) for at, c in zip(ats, batch.column("counts"), strict=True)]
-            votes = own.votes(vectors, K, batch.column("place").to_pylist())
+            votes = own.votes(vectors, K, own_place.tolist())
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(votes, pa.float64())], names=["place", "vote"])
 
     spread = docs.sparkSession.createDataFrame(places).repartition(sc.defaultParallelism * 4)
     votes = {r["place"]: r["vote"] for r in map_batches(spread, left_out, "place int, vote double").collect()}
     given = [i for i in sorted(votes) if votes[i] is not None]
-    index.calibrate([votes[i] for i in given], [index.labels[i] for i in given])
+    label = got["label"].to_numpy()
+    index.calibrate([votes[i] for i in given], [float(label[i]) for i in given])
     sent.destroy()
     sent_terms.destroy()
     return index
