@@ -8,7 +8,7 @@ template position) at which they match. Around each group of near diagonals a ba
 words is worked out; it reports the share of the template's words that it matches and the span of the text.
 
 Defined results: null and empty texts match nothing; a template may match several times in a text (spans
-that overlap are joined into the better one); a text may match several templates; templates with fewer
+do not overlap); a text may match several templates; templates with fewer
 than GRAM words are refused. Spans are in characters of the text, the end excluded.
 """
 
@@ -82,7 +82,7 @@ class Match:
     end: int
 
 
-def banded(text: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
+def banded(text: list[str | None], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """(words matched, first, last) of the best alignment of a template with the words of a text.
 
     Template word i may stand against text words shift + i - band to shift + i + band; among alignments
@@ -156,14 +156,13 @@ class TemplateIndex:
                 else:
                     groups.append([s])
             own: list[tuple[int, int, int]] = []
+            open_: list[str | None] = list(words)  # words of a match take no part in the next
             for g in groups:
-                matched, first, last = banded(words, template, g[len(g) // 2])
-                if matched < least * len(template):
-                    continue
-                if own and first <= own[-1][2]:
-                    own[-1] = max(own[-1], (matched, first, last), key=lambda o: (o[0], o[1] - o[2], -o[1]))
-                else:
-                    own.append((matched, first, last))
+                for shift in dict.fromkeys(g):
+                    matched, first, last = banded(open_, template, shift)
+                    if matched >= least * len(template):
+                        own.append((matched, first, last))
+                        open_[first : last + 1] = [None] * (last + 1 - first)
             found += [Match(name, m / len(template), spans[a][0], spans[b][1]) for m, a, b in own]
         return sorted(found, key=lambda m: (m.start, m.license))
 

@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: every row once for each whole epoch it is in, and what is left of it (its first words) at its source's cut."""
     rows = mix(docs, id_col, text_col, source_col)
-    size, taken = F.col("mix.size"), F.col("mix.taken")
+    size, taken = F.greatest(F.col("mix.size"), F.lit(1)), F.col("mix.taken")  # empty texts are never taken
     whole, rest = F.floor(taken / size).cast("int"), taken % size
     rows = rows.where(taken > 0).withColumn("__times", F.array_repeat(size, whole)).withColumn("__times", F.when(rest > 0, F.concat("__times", F.array(rest))).otherwise(F.col("__times")))
     rows = rows.withColumn("__words", F.explode("__times"))
