@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from quadrille.operators.storage import written
 
 
+def stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    both = e.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    per = both.groupBy("x").agg(F.sum("as_u").alias("us"), F.max("as_v").alias("vs"))
+    return per.where("us > 1 or (us > 0 and vs > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """[node, component]: each node that has an edge to another one, and the least node of its component.
 
     Edges that are null on a side, or from a node to itself, are left out; repeated edges count once.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = written(e, "edges"), None
-    while True:
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before or not now["n"]:
-            break
-        before = now
+    e = written(e, "edges")
+    while not stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
