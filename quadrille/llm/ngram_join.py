@@ -34,6 +34,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Buckets of the frequency sketch (a task holds 2 bytes of each), the bits of a hash beside theirs, and hot buckets that are sent to all tasks, at most.
 SKETCH, BESIDE, HOT = 1 << 24, 40, 1 << 18
+#: Ranges of the sketch, and the count from which a bucket is hot.
+RANGES, LEAST = 2048, 8
 #: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
 #: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
@@ -140,7 +142,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def document_sets(slim: DataFrame) -> DataFrame:
-    """[id, n, sid] of every row (sid null without shingles), and, with a null id and n of -1 or less, hot buckets of the sketch: sid the bucket, n minus its count."""
+    """[id, n, sid, counts] of every row (sid null without shingles); and with n = -1 - range, for each task and range of the sketch, the buckets that the task met more often than chance would have it, with their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, total = set(), np.zeros(SKETCH, np.uint16), 0
@@ -164,13 +166,32 @@ def document_sets(slim: DataFrame) -> DataFrame:
             if fresh:
                 np.add.at(counts, np.concatenate(fresh), np.uint16(1))
                 total += held
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["id", "n", "sid", "counts"])
         mean = total / SKETCH
-        at = np.flatnonzero(counts >= mean + 3 * mean**0.5 + 2)
+        at = np.flatnonzero(counts >= max(2, mean + 2 * mean**0.5))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(-counts[at].astype(np.int64)), pa.array(at.astype(np.int64))], names=["id", "n", "sid"])
+            own = at // (SKETCH // RANGES)
+            cut = np.flatnonzero(np.diff(own, prepend=-1))
+            blobs = [at[a:b].astype("<u4").tobytes() + counts[at[a:b]].astype("<u2").tobytes() for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), kind), pa.array(-1 - own[cut]), pa.nulls(len(cut), pa.int64()), pa.array(blobs, pa.binary())], names=["id", "n", "sid", "counts"])
 
-    return map_batches(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, n bigint, sid bigint")
+    return map_batches(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, n bigint, sid bigint, counts binary")
+
+
+def hot_buckets(sets: DataFrame) -> DataFrame:
+    """[bucket, n] of the sketch's buckets that were met LEAST times or more: the tasks' counts summed by range."""
+
+    def group(t: pa.Table) -> pa.Table:
+        size = SKETCH // RANGES
+        start = (-1 - t.column("n")[0].as_py()) * size
+        total = np.zeros(size, np.int64)
+        for blob in t.column("counts").to_pylist():
+            k = len(blob) // 6
+            total[np.frombuffer(blob, "<u4", k).astype(np.int64) - start] += np.frombuffer(blob, "<u2", k, 4 * k)
+        at = np.flatnonzero(total >= LEAST)
+        return pa.table({"bucket": pa.array(at + start), "n": pa.array(total[at])})
+
+    return sets.where("n < 0").select("n", "counts").groupBy("n").applyInArrow(group, "bucket bigint, n bigint")
 
 
 def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, parts: int) -> DataFrame:
@@ -279,31 +300,38 @@ def hubs(lists: DataFrame) -> DataFrame:
 
 
 def near_links(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
-    """[a, b]: some links among the sets of a hub, found in groups of about LEAVES: each set is held against up to TRIES sets of the components so far."""
+    """[a, b]: connected sets of a hub, as (least, other), found in groups of about LEAVES: each set is held against up to TRIES sets of the components so far."""
     spread = members.groupBy("hub").agg(F.ceil(F.count("*") / LEAVES).cast("long").alias("s"))
     rows = members.join(spread, "hub").select("hub", F.pmod(F.xxhash64("sid", F.lit(turn)), "s").alias("g"), "sid").join(texts.select("sid", "text"), "sid")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "hub", "g").sortWithinPartitions("hub", "g", "sid").select("hub", "g", "sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(parts: list) -> list[tuple[int, int]]:
+            return [(root, sid) for part in parts if len(part) > 1 for root in [min(x for x, _ in part)] for sid, _ in part if sid != root]
+
+        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
         at, parts = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
             for hub, g, sid, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "g", "sid", "text")), strict=True):
                 if at != (hub, g):
+                    out += stars(parts)
                     at, parts = (hub, g), []
                 own, tries, met = shingles(text), 0, []
                 for part in sorted(parts, key=len, reverse=True):
-                    for other, s in part[-(TRIES // 2) :]:
+                    for _, s in part[-(TRIES // 2) :]:
                         if tries >= TRIES:
                             break
                         tries += 1
                         if alike(own, s):
-                            out.append((other, sid))
                             met.append(part)
                             break
                 parts = [p for p in parts if not any(p is m for m in met)] + [[x for m in met for x in m] + [(sid, own)]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+            yield made(out)
+        yield made(stars(parts))
 
     return map_batches(rows, run, "a bigint, b bigint")
 
@@ -371,10 +399,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """[id, n_shingles, component_id] of every row."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = written(document_sets(slim), "sets")
-    sets = both.where("n >= 0")
-    sketch = both.where("n < 0").groupBy("sid").agg((-F.sum("n")).alias("n")).where("n >= 8").orderBy(F.desc("n"), "sid").limit(HOT).toArrow()
+    sets = both.where("n >= 0").drop("counts")
+    sketch = hot_buckets(both).orderBy(F.desc("n"), "bucket").limit(HOT).toArrow()  # the most frequent, which matter most
     n_docs = sets.count()
-    entries = index_entries(slim, sketch["n"].to_numpy(), sketch["sid"].to_numpy(), -(-n_docs // SHARE) + 15)
+    entries = index_entries(slim, sketch["n"].to_numpy(), sketch["bucket"].to_numpy(), -(-n_docs // SHARE) + 15)
     lists = written(postings(entries), "postings")
     classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep")), "classes")
     wanted = lists.select(F.explode("sids").alias("sid")).distinct().join(classes, "sid")
