@@ -15,6 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import quadrille.functions.geosparql  # noqa: F401  registers its functions
 from quadrille.functions import scalar as fn
 from quadrille.operators.paths import closure
 from quadrille.plans.algebra import (
