@@ -12,7 +12,7 @@ K1, B = 1.2, 0.75
 
 
 def tokens(c: F.Column) -> F.Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{Alnum}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 def is_word(w: str):  # noqa: ANN201
