@@ -146,13 +146,34 @@ def narrowed(rel: Rel) -> Rel:
     return replace(rel, df=rel.df.select(*keep))
 
 
-def star(ctx: Context, subject: object, triples: list[Triple]) -> Rel | None:
+def possible(ctx: Context, stars: dict[object, list[Triple]]) -> dict[str, set[str]]:
+    """For variables that are subjects and objects of mapped patterns: the prefixes that both sides can have."""
+    out: dict[str, set[str]] = {}
+    if not isinstance(ctx.data, MappedTables) or ctx.graph_var or ctx.scope.default is not None:
+        return out
+    for _ in range(len(stars)):
+        for s, ts in stars.items():
+            plain = [t for t in ts if isinstance(t.p, Term)]
+            prefixes = {c.prefix for c in ctx.data.classes if c.graph == ctx.graph and (not isinstance(s, Var) or c.prefix in out.get(s.name, {c.prefix}))}
+            prefixes = {x for x in prefixes if all(any(answers(c, t) for c in ctx.data.classes if c.prefix == x) for t in plain)}
+            if isinstance(s, Var):
+                out[s.name] = prefixes
+            for t in plain:
+                if isinstance(t.o, Var) and t.p.lex != RDF_TYPE:
+                    kinds = [c.properties[t.p.lex].type for c in ctx.data.classes if c.prefix in prefixes and t.p.lex in c.properties]
+                    if all(k.kind == "iri" and k.prefix for k in kinds):
+                        own = {k.prefix for k in kinds}
+                        out[t.o.name] = own & out.get(t.o.name, own)
+    return out
+
+
+def star(ctx: Context, subject: object, triples: list[Triple], prefixes: set[str] | None = None) -> Rel | None:
     """Patterns of one subject, folded into one scan of each table that answers all of them; None if they can't be."""
     if not isinstance(ctx.data, MappedTables) or ctx.graph_var or ctx.scope.default is not None or any(not isinstance(t.p, Term) or isinstance(t.o, Quoted) for t in triples):
         return None
     by_prefix: dict[str, list[ClassMap]] = {}
     for c in ctx.data.classes:
-        if c.graph == ctx.graph and not (isinstance(subject, Term) and not subject.lex.startswith(c.prefix)):
+        if c.graph == ctx.graph and (prefixes is None or c.prefix in prefixes) and not (isinstance(subject, Term) and not subject.lex.startswith(c.prefix)):
             by_prefix.setdefault(c.prefix, []).append(c)
     rels = []
     for classes in by_prefix.values():
@@ -230,8 +251,9 @@ def bgp(ctx: Context, triples: tuple) -> Rel:
         else:
             rest.append(t)
     parts: list[tuple[set[str], Rel]] = []
+    known = possible(ctx, stars)
     for s, ts in stars.items():
-        whole = star(ctx, s, ts)
+        whole = star(ctx, s, ts, known.get(s.name) if isinstance(s, Var) else None)
         for rel in [whole] if whole else [scan(ctx, t) for t in sorted(ts, key=boundness)]:
             parts.append((set(rel.vars), rel))
     for t in rest:
