@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quadrille.functions.scalar import REGISTRY, boolean
-from quadrille.operators import geo
-from quadrille.terms import DBL, GEO, GEOF, IRI_T, Type, Value, lexical
+from quadrille.operators import geo, geo3d
+from quadrille.terms import BOOL, DBL, GEO, GEOF, IRI_T, Type, Value, lexical
 
 WKT = Type("lit", GEO + "wktLiteral")
 
@@ -32,3 +32,42 @@ REGISTRY.update(
         GEOF + "getSRID": lambda a: Value(geo.column(lambda w: g.srid if (g := geo.parse_wkt(w)) else None, lexical(a), kind="string"), IRI_T),
     }
 )
+
+GEO3D = "urn:geo3d:"
+
+
+def solid(f, kind: str, *types):  # noqa: ANN001, ANN201
+    """A function of 3D geometries by their texts; null where one can't be read."""
+
+    def run(*ws):  # noqa: ANN202
+        shapes = [geo3d.parse(w) for w in ws[: len(ws) - len(types)]]
+        return None if any(s is None for s in shapes) else f(*shapes, *[t(w) for t, w in zip(types, ws[len(shapes) :], strict=True)])
+
+    out = {"double": DBL, "boolean": BOOL, "string": WKT}[kind]
+    return lambda *vs: Value(geo.column(run, *map(lexical, vs), kind=kind), out)
+
+
+FUNCTIONS_3D = {
+    "distance3d": solid(geo3d.distance, "double"),
+    "volume": solid(geo3d.volume, "double"),
+    "area3d": solid(geo3d.area, "double"),
+    "zMin": solid(lambda g: (geo3d.z_range(g) or (None,))[0], "double"),
+    "zMax": solid(lambda g: (geo3d.z_range(g) or (None, None))[1], "double"),
+    "height": solid(geo3d.height, "double"),
+    "boundingBox3d": solid(geo3d.bounding_box, "string"),
+    "centroid3d": solid(geo3d.centroid, "string"),
+    "footprint2d": solid(geo3d.footprint, "string"),
+    "extrude": solid(geo3d.extrude, "string", float),
+    "sf3dIntersects": solid(geo3d.intersects, "boolean"),
+    "sf3dDisjoint": solid(lambda g, h: not geo3d.intersects(g, h), "boolean"),
+    "sf3dContains": solid(geo3d.contains, "boolean"),
+    "sf3dWithin": solid(lambda g, h: geo3d.contains(h, g), "boolean"),
+}
+
+
+def register_3d(namespace: str) -> None:
+    """Puts the 3D functions under a namespace of the caller's own as well."""
+    REGISTRY.update({namespace + name: f for name, f in FUNCTIONS_3D.items()})
+
+
+register_3d(GEO3D)
