@@ -7,8 +7,8 @@ distributed inverted index; candidates must also share prefix shingles under fur
 hashes) before their sets are compared in full. Any order is exact, so the sketch bears on speed only.
 
 Groups of copies never become pairs: equal sets are one class, known by the set's digest. Near copies are
-first gathered: sets stand in small groups by their hub, the set that each shares most postings with, then a
-few of each component by clusters of hubs, and links within a group make components. Members of one component need no comparison among themselves, so
+first gathered: sets stand in small groups by their hub, the set that each shares most postings with, and
+links within a group make components. Members of one component need no comparison among themselves, so
 the second step compares exactly the candidates whose components still differ. All links between
 components are found: the components are exact. Postings are cut in chunks, hot ones salted over several tasks, and compared chunk by chunk.
 
@@ -39,9 +39,9 @@ RANGES, LEAST = 2048, 8
 #: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
 #: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
-TRIES, PICKED, MOST_TURNS = 48, 16, 4
+TRIES, PICKED, MOST_TURNS = 48, 16, 6
 #: Cells of a set's histogram.
-CELLS = 32
+CELLS = 256
 #: An odd factor for each place in a shingle.
 PLACES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Global orders besides the first.
@@ -107,7 +107,7 @@ def histogram(s: np.ndarray) -> bytes:
 def may_link(n_a: np.ndarray, n_b: np.ndarray, h_a: np.ndarray, h_b: np.ndarray) -> np.ndarray:
     """Whether the histograms leave room for the overlap that a link needs; sets share at most the lesser number of each cell."""
     room = np.minimum(h_a, h_b).sum(1, dtype=np.int64)
-    full = (h_a == 255).any(1) | (h_b == 255).any(1)
+    full = (np.maximum(h_a, h_b) == 255).any(1)
     return full | ((100 + PERCENT) * room >= PERCENT * (n_a + n_b))
 
 
@@ -339,27 +339,21 @@ def near_links(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
 def gathered(lists: DataFrame, texts: DataFrame) -> DataFrame:
     """[node, component]: sets that are surely connected, so that large groups of near copies need no comparison of all their pairs.
 
-    The first turn groups sets by their hub; the later ones take up to PICKED sets of each component and group
-    them by cluster (hubs and their sets, connected), as long as a cluster needs several groups. Links that this
-    misses are found by open_pairs.
+    After the first turn a hub keeps PICKED sets of each component, and they are grouped anew, as long as a hub has
+    several groups. Links that this misses are found by open_pairs.
     """
     every = written(hubs(lists), "hubs")
-    links = written(near_links(every, texts, 0), "links")
-    labels = written(connected_components(links), "labels")
-    clusters = connected_components(every.select(F.col("hub").alias("a"), F.col("sid").alias("b"))).select(F.col("component").alias("hub"), F.col("node").alias("sid"))
-    clusters = written(clusters, "clusters")
-    for turn in range(1, MOST_TURNS):
-        named = clusters.join(labels, F.col("sid") == F.col("node"), "left").select("hub", "sid", F.coalesce("component", "sid").alias("label"))
-        apart = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub")
-        order = Window.partitionBy("hub", "label").orderBy(F.xxhash64("sid", F.lit(turn)))
-        picked = named.join(apart, "hub", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PICKED)
-        members = written(picked.select("hub", "sid"), "hubs")
-        if members.isEmpty():
-            break
-        links = links.unionByName(written(near_links(members, texts, turn), "links"))
+    members, links, labels = every, None, None
+    for turn in range(MOST_TURNS):
+        found = written(near_links(members, texts, turn), "links")
+        links = found if links is None else links.unionByName(found)
         labels = written(connected_components(links), "labels")
-        if members.groupBy("hub").count().where(F.col("count") > LEAVES).isEmpty():
+        several = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("hub")
+        if several.isEmpty():
             break
+        named = every.join(several, "hub", "left_semi").join(labels, F.col("sid") == F.col("node"), "left").select("hub", "sid", F.coalesce("component", "sid").alias("label"))
+        order = Window.partitionBy("hub", "label").orderBy(F.xxhash64("sid", F.lit(turn)))
+        members = written(named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PICKED).select("hub", "sid"), "hubs")
     return labels
 
 
@@ -383,8 +377,8 @@ def open_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                x, y = (columns(batch.column(c)[i].values) for c in ("x", "y"))
+            for row in range(len(batch)):
+                x, y = (columns(batch.column(c)[row].values) for c in ("x", "y"))
                 same = not len(y[0])
                 y = x if same else y
                 for lo in range(0, len(x[0]), 256):
@@ -393,9 +387,10 @@ def open_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
                     p, q = np.nonzero(apart & (part[0][:, None] < y[0]) if same else apart)
                     fit = 100 * np.minimum(part[1][p], y[1][q]) >= PERCENT * np.maximum(part[1][p], y[1][q])
                     p, q = p[fit], q[fit]
-                    fit = may_link(part[1][p], y[1][q], part[3][p], y[3][q])
-                    if fit.any():
-                        a, b = part[0][p[fit]], y[0][q[fit]]
+                    for at in range(0, len(p), 50_000):  # a pair's histograms are 2 * CELLS bytes
+                        i, j = p[at : at + 50_000], q[at : at + 50_000]
+                        fit = may_link(part[1][i], y[1][j], part[3][i], y[3][j])
+                        a, b = part[0][i[fit]], y[0][j[fit]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return map_batches(alone.unionByName(cross), run, "a bigint, b bigint").distinct()
