@@ -27,8 +27,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the greatest id."""
-    return exact_dedup.keep_one(docs)
+    """Of equal texts the row with the greatest id; rows without an id only where no row with an id has their text."""
+    return exact_dedup.keep_one(docs, null_ids=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
