@@ -14,7 +14,8 @@ components are found: the components are exact. Postings are cut in chunks, hot
 
 Defined results: A-Z are lower-cased; with fewer than SHINGLE words the whole sequence is the one shingle;
 null, empty and blank texts have no shingle, link with nothing and are a component of their own id. Rows
-that repeat an id each have their own set; the component is the least id that is reached.
+that repeat an id each have their own set; the component is the least id that is reached. Rows without an
+id link like others; the component is the least id that is not null, and null where no row has one.
 """
 
 from __future__ import annotations
@@ -415,7 +416,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = [batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(histogram, sets)), pa.binary()), batch.column("text")]
             yield pa.RecordBatch.from_arrays(out, names=["sid", "n", "cells", "text"]).filter(own)
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids = pa.array([set_id(s) if len(s) else None for s in map(shingles, texts_of(batch))], pa.int64())
+            yield pa.RecordBatch.from_arrays([sids, batch.column("text")], names=["sid", "text"])
+
     found = slim.join(wanted, F.col("id") == F.col("rep")).select("sid", "text")
+    if not classes.where("rep is null").isEmpty():  # sets that only rows without an id hold: a text of each
+        nameless = map_batches(slim.where("id is null").select("text"), held, "sid bigint, text string")
+        found = found.unionByName(nameless.join(wanted.where("rep is null"), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")))
     texts = written(map_batches(found, own, "sid bigint, n bigint, cells binary, text string"), "texts")
     sure = gathered(lists, texts)
     rest = verified(open_pairs(lists, sure, texts), texts)

@@ -161,6 +161,23 @@ def test_ngram_join_of_nothing(spark):
     assert got[2] == 1 and got[3] == 3 and got[4] == 4
 
 
+def chain(*words):
+    """Three texts of 100 shingles: the second is a near copy of both others, which are none of each other."""
+    w = [f"{words[0]}{i}" for i in range(104)]
+    return " ".join(["x"] * 8 + w[8:]), " ".join(w), " ".join(w[:96] + ["y"] * 8)
+
+
+def test_ngram_join_links_rows_without_id(spark):
+    (a, n, b), (c, m, d) = chain("p"), chain("q")
+    rows = [(5, a, "s"), (None, n, "s"), (None, n, "s"), (9, b, "s"), (None, c, "s"), (None, m, "s"), (7, d, "s"), (None, None, "s"), (8, "far from all", "s")]
+    rows += [(None, t.upper(), "s") for t in chain("r")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(frame(spark, rows)).collect()), key=str)
+    sizes = {t: len(ngram_join.shingles(t)) for _, t, _ in rows}
+    want = [5, 5, 5, 5, 7, 7, 7, None, 8, None, None, None]
+    assert got == sorted(((i, sizes[t], c) for (i, t, _), c in zip(rows, want, strict=True)), key=str)
+    assert {r["component_id"] for r in ngram_join.components(frame(spark, [r for r in rows if r[1] != n])).where("doc_id in (5, 9)").collect()} == {5, 9}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)], i) for i in range(400)] + [(400, None, 0), (401, [float("nan")] * 8, 0), (402, [None] + [1.0] * 7, 0), (403, [float("inf")] * 8, 0), (404, [], 0), (7, [0.5] * 8, 1), (500, [1.0, 2.0], 0), (600, [2.0, 3.0], 0), (700, [0.25] * 8, 0), (701, [0.25] * 8, 0)]
