@@ -6,7 +6,9 @@ time that the mix takes it; the one at a source's cut is cut to the words it sti
 what is left is encoded and decoded.
 
 Defined results: other columns of documents are kept as they are; n_chars follows a text that is cut. Rows
-whose id is null are judged like others and never meet as copies by their id.
+whose id is null are judged like others and never meet as copies by their id; one stays only where no row
+with an id has its text or a near copy. Where an id stands on several texts, each is judged by itself; of a
+component exactly one row stays, also where several share the least id. Texts without a word all stay there.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id."""
-    gone = ngram_join.components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies one row: the document with the least id."""
+    return ngram_join.keep_one(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

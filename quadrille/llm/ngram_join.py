@@ -143,13 +143,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def document_sets(slim: DataFrame) -> DataFrame:
-    """[id, n, sid, counts] of every row (sid null without shingles); and with n = -1 - range, for each task and range of the sketch, the buckets that the task met more often than chance would have it, with their counts, packed."""
+    """[id, n, sid, counts] of every row (sid null without shingles), between id and n the other columns of slim; and with n = -1 - range, for each task and range of the sketch, the buckets that the task met more often than chance would have it, with their counts, packed."""
+
+    keys = [c for c in slim.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, total = set(), np.zeros(SKETCH, np.uint16), 0
-        kind = None
+        kinds: list[pa.DataType] = []
         for batch in batches:
-            kind, sizes, ids, fresh, held = batch.column("id").type, [], [], [], 0
+            kinds, sizes, ids, fresh, held = [batch.column(k).type for k in keys], [], [], [], 0
             for text in texts_of(batch):
                 s = shingles(text)
                 sid = set_id(s) if len(s) else None
@@ -167,16 +169,16 @@ def document_sets(slim: DataFrame) -> DataFrame:
             if fresh:
                 np.add.at(counts, np.concatenate(fresh), np.uint16(1))
                 total += held
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["id", "n", "sid", "counts"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=[*keys, "n", "sid", "counts"])
         mean = total / SKETCH
         at = np.flatnonzero(counts >= max(2, mean + 2 * mean**0.5))
         if len(at):
             own = at // (SKETCH // RANGES)
             cut = np.flatnonzero(np.diff(own, prepend=-1))
             blobs = [at[a:b].astype("<u4").tobytes() + counts[at[a:b]].astype("<u2").tobytes() for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), kind), pa.array(-1 - own[cut]), pa.nulls(len(cut), pa.int64()), pa.array(blobs, pa.binary())], names=["id", "n", "sid", "counts"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(cut), kind) for kind in kinds), pa.array(-1 - own[cut]), pa.nulls(len(cut), pa.int64()), pa.array(blobs, pa.binary())], names=[*keys, "n", "sid", "counts"])
 
-    return map_batches(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, n bigint, sid bigint, counts binary")
+    return map_batches(slim, run, ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, sid bigint, counts binary")
 
 
 def hot_buckets(sets: DataFrame) -> DataFrame:
@@ -397,9 +399,8 @@ def open_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
     return map_batches(alone.unionByName(cross), run, "a bigint, b bigint").distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """[id, n_shingles, component_id] of every row."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def labelled(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of [id, text, ...]: [id, ..., n, sid] of every row, and [sid, rep, label] of every set, label being one set of its component."""
     both = written(document_sets(slim), "sets")
     sets = both.where("n >= 0").drop("counts")
     sketch = hot_buckets(both).orderBy(F.desc("n"), "bucket").limit(HOT).toArrow()  # the most frequent, which matter most
@@ -429,8 +430,37 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sure = gathered(lists, texts)
     rest = verified(open_pairs(lists, sure, texts), texts)
     labels = connected_components(sure.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
-    least = classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
+    return sets, classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """[id, n_shingles, component_id] of every row."""
+    sets, least = labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     names = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = written(least.join(names, "label").select("sid", "component_id"), "components")
     out = sets.join(named, "sid", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with exactly one row of each component, and all rows without a shingle.
+
+    Rows are known by id and text's digest, as an id may stand on several texts. The least id stays (null after
+    all others), of its texts the one with the least digest, and of rows alike in both the least by all columns.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    sets, least = labelled(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")))
+    rows = written(sets.where("n > 0").join(least.select("sid", "label"), "sid").select("id", "digest", "label"), "rows")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    judged = written(rows.join(first, "label").select("id", "digest", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("digest") == F.col("f.digest"))).alias("stays")), "judged")
+    gone = judged.where("not stays").select("id", "digest").distinct()
+    again = written(judged.where("stays").groupBy("id", "digest").agg(F.count("*").alias("k")).where("k > 1").select("id", "digest"), "again")
+
+    def matched(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+        return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), how)
+
+    if again.isEmpty():
+        return matched(gone, "left_anti")
+    one = matched(again, "left_semi").groupBy(F.col(id_col).alias("__id"), digest.alias("__digest")).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return matched(gone.unionByName(again), "left_anti").unionByName(one)

@@ -178,6 +178,25 @@ def test_ngram_join_links_rows_without_id(spark):
     assert {r["component_id"] for r in ngram_join.components(frame(spark, [r for r in rows if r[1] != n])).where("doc_id in (5, 9)").collect()} == {5, 9}
 
 
+def test_near_copies_go_by_row(spark):
+    """One row of each component stays, and no other text of an id whose one text is a near copy."""
+    (a, n, b), (c, m, d), (e, o, f) = chain("p"), chain("q"), chain("r")
+    rows = [(5, a, "s"), (9, n, "s"), (9, "a clean text of its own", "s")]
+    rows += [(3, c, "s"), (3, m, "s"), (3, d, "t"), (6, "lone", "b"), (6, "lone", "a")]
+    rows += [(None, e, "s"), (None, o, "s"), (8, f, "s"), (None, "no id and no copy", "s"), (9, " ", "s"), (9, None, "s"), (None, "", "s")]
+    rows += [(None, "w " + t, "s") for t in chain("z")]
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SF).collect()]
+    sure = [(5, a, "s"), (9, "a clean text of its own", "s"), (6, "lone", "a"), (8, f, "s"), (None, "no id and no copy", "s"), (9, " ", "s"), (9, None, "s"), (None, "", "s")]
+    rest = list(kept)
+    for r in sure:
+        rest.remove(r)
+    assert len(rest) == 2 and {r[0] for r in rest} == {3, None}
+    assert all(r in rows for r in rest) and sum(r[0] is None and r[1][:2] == "w " for r in rest) == 1
+    again = corpus_pipeline.drop_near_copies(spark, frame(spark, rows[::-1]).repartition(3), SF).collect()
+    assert sorted(kept, key=str) == sorted(((r["doc_id"], r["text"], r["source"]) for r in again), key=str)
+    assert corpus_pipeline.drop_near_copies(spark, frame(spark, rows).limit(0), SF).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)], i) for i in range(400)] + [(400, None, 0), (401, [float("nan")] * 8, 0), (402, [None] + [1.0] * 7, 0), (403, [float("inf")] * 8, 0), (404, [], 0), (7, [0.5] * 8, 1), (500, [1.0, 2.0], 0), (600, [2.0, 3.0], 0), (700, [0.25] * 8, 0), (701, [0.25] * 8, 0)]
