@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import geo
+from quadrille.plans import operations
 from quadrille.plans.compiler import query
 from quadrille.sources.rdf import from_text
 
@@ -57,3 +58,22 @@ def test_spatial_join_is_the_same_without_a_grid(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 1.0, 1.0)], "id int, x double, y double")
     assert [r["id"] for r in geo.nearest(pts, 0, 0, 2).collect()] == [1, 3]
     assert pts.where(geo.within_box(F.col("x"), F.col("y"), 0, 0, 2, 2)).count() == 2
+
+
+def test_registered_join_takes_the_squares_of_all_rows(spark, tmp_path):
+    rows = [(i, [i * 0.3719 % 1 / 10, i * 0.7123 % 1 / 10, 0.0]) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = [(i, v[0] * 10, v[1] * 10) for i, v in rows]
+    want = sorted((i, j) for i, x, y in at for j, u, v in at if abs(x - u) < 0.25 and abs(y - v) < 0.25)
+    got = operations.queries()["geo_join_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == want and {i for i, _ in want} == set(range(45)) and len(want) > 90
+
+
+def test_registered_statistics_take_all_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    quads = operations.dataset(spark, sf).as_quads().quads.select("s", "p", "o")
+    stats = operations.queries()["void_stats_all"](spark, sf).collect()[0]
+    uses = {(r["kind"], r["name"]): r["uses"] for r in operations.queries()["usage_counts_all"](spark, sf).collect()}
+    assert stats["triples"] == quads.count() == sum(n for (kind, _), n in uses.items() if kind == "predicate")
+    for table, name in (("nation", "Nation"), ("customer", "Customer"), ("documents", "Document"), ("pages", "Page")):
+        assert uses["class", f"urn:c:{name}"] == spark.read.parquet(f"{sf}/{table}.parquet").count()
