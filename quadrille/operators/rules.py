@@ -25,7 +25,6 @@ from quadrille.sources.rdf import parsed
 from quadrille.terms import OWL, RDF, RDFS, TERM, XSD, Value
 
 NAMES = {"a": RDF + "type", "member": "urn:q:member", "length": "urn:q:length"}
-MOST_ROUNDS = 500
 
 
 @dataclass(frozen=True)
@@ -300,7 +299,7 @@ def materialize(data: QuadTable, regime: str | list[Rule] = "rdfs", graphs: tupl
     facts, delta = base, base
     preds, classes = vocabulary(rs)
     present = occurring(facts, preds, classes)
-    for _ in range(MOST_ROUNDS):
+    while True:
         fresh = occurring(delta, preds, classes)
         present |= fresh
         made = []

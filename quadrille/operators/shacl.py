@@ -293,7 +293,7 @@ class Validator:
     # --- rules ---------------------------------------------------------------------------------
 
     def infer(self, rounds: int = 100) -> QuadTable:
-        """Triples that the shapes' rules (sh:TripleRule, sh:SPARQLRule) add, to a fix-point."""
+        """Triples that the shapes' rules (sh:TripleRule, sh:SPARQLRule) add, to a fix-point; an error if the last round still adds some."""
         g = self.g
         data, own = self.ctx.data, self
         given = data.quads
@@ -322,6 +322,8 @@ class Validator:
                 break
             data = QuadTable(written(data.quads.unionByName(new.select("g", "s", "p", "o")), "rules"))
             own = Validator(data, self.shapes, self.ctx.graph)
+        else:
+            raise RuntimeError(f"the rules still add triples after {rounds} rounds")
         a = data.quads.where("g is null")
         return QuadTable(a.join(given.where("g is null").select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("g", "s", "p", "o"))
 

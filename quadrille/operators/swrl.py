@@ -111,7 +111,7 @@ def construct(r: SwrlRule) -> str:
 
 
 def infer(data: QuadTable, rules: list[SwrlRule], rounds: int = 500) -> QuadTable:
-    """Triples that the rules add to the default graph."""
+    """Triples that the rules add to the default graph, to a fix-point; an error if the last round still adds some, as built-ins may make new values for ever."""
     given, now = data.quads.where("g is null").select("s", "p", "o"), data
     texts = [construct(r) for r in rules]
     for _ in range(rounds):
@@ -121,4 +121,6 @@ def infer(data: QuadTable, rules: list[SwrlRule], rounds: int = 500) -> QuadTabl
         if new.isEmpty():
             break
         now = QuadTable(written(now.quads.unionByName(new.select(F.lit(None).cast("string").alias("g"), "s", "p", "o")), "swrl"))
+    else:
+        raise RuntimeError(f"the rules still add triples after {rounds} rounds")
     return QuadTable(now.quads.where("g is null").join(given, ["s", "p", "o"], "left_anti").select("g", "s", "p", "o"))

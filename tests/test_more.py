@@ -80,3 +80,11 @@ def test_streamed_quads(spark, tmp_path):
         (src / f"{i}.nq").write_text(f'<urn:a> <urn:p> "{i}" .\n<urn:a> <urn:p> "same" <urn:g> .\nbad\n')
         ingest(read_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert table(spark, str(tmp_path / "out")).quads.count() == 3
+
+
+def test_swrl_does_not_stop_short_in_silence(spark):
+    d = from_text(spark, P + ":a :next :b . :b :next :c . :c :next :d . :d :next :e . :a :on :a .")
+    rules = swrl.parse_text("on(?x, ?y) ^ next(?y, ?z) -> on(?x, ?z)", {"": "urn:"})
+    assert added(swrl.infer(d, rules)) == {f"<urn:a> <urn:on> <urn:{x}> ." for x in "bcde"}
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        swrl.infer(d, rules, rounds=2)

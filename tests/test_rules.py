@@ -95,3 +95,10 @@ def test_statistics(spark):
     assert graphs.suggest(q, "urn:").first()["iri"] == "urn:A"
     f = graphs.fingerprint(q.orderBy("p")).first()
     assert f == graphs.fingerprint(q.repartition(3)).first()
+
+
+def test_rules_go_on_until_nothing_is_new(spark, monkeypatch):
+    """Also where a limit of rounds, as there was one, is reached before."""
+    monkeypatch.setattr("quadrille.operators.rules.MOST_ROUNDS", 2, raising=False)
+    chain = " ".join(f":A{i} rdfs:subClassOf :A{i + 1} ." for i in range(9))
+    assert has("x", "a", "A9") in inferred(spark, "rdfs", f":x a :A0 . {chain}")

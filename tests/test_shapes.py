@@ -77,3 +77,12 @@ def test_text_search(spark):
     assert text_search.autocomplete(words, "pl").first()["word"] == "place"
     c = spark.createDataFrame([("t1", "v1", 1.0), ("t2", "v1", 2.0), ("t3", "v2", 1.0), ("t1", "v2", 3.0)], "term string, vocabulary string, score double")
     assert [v for v, _ in text_search.recommend(c)] == ["v1", "v2"] or [v for v, _ in text_search.recommend(c)] == ["v2", "v1"]
+
+
+def test_rules_do_not_stop_short_in_silence(spark):
+    d = from_text(spark, P + ":a a :Person ; :on :a ; :next :b . :b :next :c . :c :next :d . :d :next :e .")
+    shapes = P + ":R a sh:NodeShape ; sh:targetClass :Person ; sh:rule [ a sh:SPARQLRule ; sh:construct 'CONSTRUCT { $this <urn:on> ?z } WHERE { $this <urn:on> ?y . ?y <urn:next> ?z }' ] ."
+    got = {r["value"] for r in lines(shacl.infer(d, shapes).quads).collect()}
+    assert got == {f"<urn:a> <urn:on> <urn:{x}> ." for x in "bcde"}
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        shacl.Validator(d, shacl.Shapes.read(shapes), None).infer(rounds=2)
