@@ -41,8 +41,8 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        """Over host + newline + path; a newline in a host never stands for the one between."""
-        return rf"(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+        """Over host + ? + path; neither can hold a question mark."""
+        return rf"(?:[^?]*\.)?{re.escape(self.host)}\?{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -67,7 +67,7 @@ class RuleIndex:
         if not host and not path:
             return None
         tokens = {f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in SPLIT.split(path)}
-        line = f"{host}\n{path}"
+        line = f"{host}?{path}"
         best = None
         for pattern, rule in [c for t in tokens for c in self.filed.get(t, ())] + self.everywhere:
             if (best is None or (-len(rule.text), rule.text, rule.verdict) < (-len(best.text), best.text, best.verdict)) and pattern.match(line):

@@ -148,6 +148,13 @@ def test_url_rows(spark):
     assert got == sorted([(1, "sub.example.com", "/en/7", "example.com/en/7", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.net", "/de/8", "net/de/", "allow"), (4, "a.net", "/de/8", "net/de/", "allow"), (5, "b:", "//c/d", None, "allow")], key=str)
 
 
+def test_url_hosts_with_newlines(spark):
+    index = url_filters.RuleIndex(RULES)
+    assert index.judge("a\nb.com", "/en/") == RULES[0] and index.judge("a\ncom", "/en/") is None and index.judge("com\n", "/en/") is None
+    pages = spark.createDataFrame([(1, "x://a\nb.com/en/\nx")], "page_id long, url string")
+    assert [tuple(r) for r in url_filters.filter_urls(pages, RULES).collect()] == [(1, "a\nb.com", "/en/\nx", "com/en/", "block")]
+
+
 def aligned(text, template):
     """Longest common subsequence by brute force."""
     row = [0] * (len(template) + 1)
