@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under TF-IDF cosine, exact within a cut vocabulary (LEAST_SHARE).
 
 Up to EXAMPLES labelled texts are kept as an inverted index: for each term its postings in the order of the
 examples, which stand in blocks of BLOCK, and for each term and block the greatest weight (the block
