@@ -1,21 +1,25 @@
 """N-gram Jaccard join with multiple global orders.
 
 A text's set is its distinct 5-word shingles as 64-bit hashes. Two sets of similarity t share, under every
-global order of the shingles, one of the first n - ceil(t n) + 1 of each. The first order (rare shingles
-first: classes of frequency from a bounded sketch of all data, then by hash) makes the candidates in a
-distributed inverted index; candidates must also share prefix shingles under further orders (other
-hashes) before their sets are compared in full. Any order is exact, so the sketch bears on speed only.
+global order of the shingles, one of the first n - ceil(t n) + 1 of each. All orders have rarer shingles
+first, by the number of sets that have them, and differ in the hash that decides among equals; a pair must
+share prefix shingles under all of them, which the small prefixes decide before texts are read.
+
+Most sets leave early: a shared sample of shingles, as large as the threshold needs, goes to their ranges and
+back, and a set with more shingles of its own than a link allows links nothing. Only the rest is indexed.
+Frequencies and filters bear on speed alone: they leave out nothing that links, at any size of the input.
 
 Groups of copies never become pairs: equal sets are one class, known by the set's digest. Near copies are
 first gathered: sets stand in small groups by their hub, the set that each shares most postings with, and
 links within a group make components. Members of one component need no comparison among themselves, so
 the second step compares exactly the candidates whose components still differ. All links between
-components are found: the components are exact. Postings are cut in chunks, hot ones salted over several tasks, and compared chunk by chunk.
+components are found: the components are exact. Hot postings are compared in blocks, each a key of its own.
 
 Defined results: A-Z are lower-cased; with fewer than SHINGLE words the whole sequence is the one shingle;
 null, empty and blank texts have no shingle, link with nothing and are a component of their own id. Rows
 that repeat an id each have their own set; the component is the least id that is reached. Rows without an
-id link like others; the component is the least id that is not null, and null where no row has one.
+id link like others; the component is the least id that is not null, and null where no row has one. Sets
+are told apart by 128 bits of their digest: where the first 64 agree, the others count.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,27 +39,24 @@ from quadrille.operators.components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
-#: Buckets of the frequency sketch (a task holds 2 bytes of each), the bits of a hash beside theirs, and hot buckets that are sent to all tasks, at most.
-SKETCH, BESIDE, HOT = 1 << 24, 40, 1 << 18
-#: Ranges of the sketch, and the count from which a bucket is hot.
-RANGES, LEAST = 2048, 8
-#: Sets of a posting's chunk, leaves of a hub's group, and documents that a partition of the index stands for.
+#: Sets of a posting's chunk, leaves of a hub's group, and sets that a partition of the index stands for.
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
+#: Sets of a block and shingles that it asks for, at most; the owner of shingles that are sent for the sake of others.
+BLOCK_SETS, BLOCK_TOKENS, NOBODY = 60_000, 2_000_000, 65_535
+#: Classes that are sent to all tasks (id and digest), at most; more are joined by a shuffle.
+FEW = 500_000
 #: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
 TRIES, PICKED, MOST_TURNS = 48, 16, 6
-#: Cells of a set's histogram.
-CELLS = 256
+#: Cells of a set by hash and by level, and the count from which a cell counts as without bound.
+CELLS, LEVELS, FULL = 32, 16, 65_535
 #: An odd factor for each place in a shingle.
 PLACES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-#: Global orders besides the first.
-MORE_ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: The hashes of the global orders.
+ORDERS = (0, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_R = 0x5851F42D4C957F2D
-_R_INVERSE = pow(_R, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -64,27 +67,28 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, r in (("up", _R), ("down", _R_INVERSE)):
-            steps = np.full(size, r, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+#: A random number for each byte at each of a word's first places; later places are worked out where a word has them.
+_PLACED = mixed(np.arange(64 * 256, dtype=np.uint64), 0x5851F42D4C957F2D)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text: a rolling polynomial over its bytes gives each word's hash, five of these a shingle's."""
+    """Sorted distinct shingle hashes of a whole text: the sum of random numbers for its bytes at their places gives each word's hash, five of these a shingle's."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace").translate(_LOWER), np.uint8)
     blank = _BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    word = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    longest = int((end - start).max())
+    begun = np.zeros(len(raw), np.int64)
+    begun[start[1:]] = np.diff(start)
+    place = np.arange(len(raw)) - np.cumsum(begun) - start[0]  # of each byte in its word; blanks are summed by no word
+    if longest <= 64:
+        each = _PLACED[(np.clip(place, 0, 63) << 8) | raw]
+    else:
+        each = mixed((np.maximum(place, 0).astype(np.uint64) << np.uint64(8)) | raw, 0x5851F42D4C957F2D)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    word = mixed(total[end] - total[start] + (end - start).astype(np.uint64))
     n = min(SHINGLE, len(word))
     out = np.zeros(len(word) - n + 1, np.uint64)
     for i in range(n):
@@ -92,33 +96,32 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def set_id(s: np.ndarray, moved: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(sid, check) of a set: 64 bits each; sets whose sid is known to stand for several (moved) have one that both make."""
+    whole = digest(s.tobytes())
+    sid, check = (int.from_bytes(whole[i : i + 8], "little", signed=True) for i in (0, 8))
+    return (sid ^ check if sid in moved else sid), check
 
 
 def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """Numbers of shingles by their hash modulo CELLS, a byte each (255: or more)."""
-    return np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def asked_share(n: float) -> float:
+    """Share of its shingles, the same ones in every set, that a set of n asks for; it never grows with n."""
+    return min(1.0, 0.25 + n**-0.5)
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, h_a: np.ndarray, h_b: np.ndarray) -> np.ndarray:
-    """Whether the histograms leave room for the overlap that a link needs; sets share at most the lesser number of each cell."""
-    room = np.minimum(h_a, h_b).sum(1, dtype=np.int64)
-    full = (np.maximum(h_a, h_b) == 255).any(1)
-    return full | ((100 + PERCENT) * room >= PERCENT * (n_a + n_b))
-
-
-def share_prefix(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share a prefix shingle under each further order."""
-    for salt in MORE_ORDERS:
-        first = [np.partition(m, p - 1)[:p] for s in (a, b) for m, p in ((mixed(s, salt), prefix_size(len(s))),)]
-        if not np.isin(first[0], first[1], assume_unique=True).any():
-            return False
-    return True
+    """Whether the cells leave room for the overlap that a link needs: sets share at most the lesser number of each cell, over the hash cells and over the levels."""
+    least = np.minimum(h_a, h_b).astype(np.int64)
+    least[least == FULL] = 1 << 40
+    room = np.minimum(least[:, :CELLS].sum(1), least[:, CELLS:].sum(1))
+    return (100 + PERCENT) * room >= PERCENT * (n_a + n_b)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -137,136 +140,159 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The further orders' filters, then the overlap."""
-    return 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)) and share_prefix(a, b) and alike(a, b)
+def packed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct keys, and for each column the bytes of its values under each key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    ends = np.append(cut, len(key))[1:]
+    return key[cut], [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for x in (c[order] for c in columns)]
+
 
+def unpacked(table: pa.Table, **kinds: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x is not None), kind) for c, kind in kinds.items()]
 
-def document_sets(slim: DataFrame) -> DataFrame:
-    """[id, n, sid, counts] of every row (sid null without shingles), between id and n the other columns of slim; and with n = -1 - range, for each task and range of the sketch, the buckets that the task met more often than chance would have it, with their counts, packed."""
 
+def document_sets(slim: DataFrame, ranges: int) -> DataFrame:
+    """One row of kind 0 for each row of slim: its columns but text, n, sid and check (null without shingles).
+
+    And what asks how common shingles are, by blocks of up to BLOCK_SETS sets of a task: of kind 1, for each
+    range of shingles, those that the block's sets ask for (x), each with its owner in the block (y, or NOBODY);
+    of kind 2 the block's sets (x) and for each how many of its shingles have to be common (y): fewer prove that
+    the set has more shingles of its own than any link allows.
+    """
     keys = [c for c in slim.columns if c != "text"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = [*keys, "kind", "n", "sid", "check", "block", "range", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts, total = set(), np.zeros(SKETCH, np.uint16), 0
-        kinds: list[pa.DataType] = []
+        own: list[pa.DataType] = []
+        block, sets, asked, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def rows(kind: int, size: int, **found: list) -> pa.RecordBatch:
+            known = {"kind": [kind] * size, **found}
+            return pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in own), *(pa.array(known.get(c, [None] * size), t) for c, t in zip(names[len(keys) :], kinds, strict=True))], names=names)
+
+        def block_rows() -> Iterator[pa.RecordBatch]:
+            owner = np.repeat(np.arange(len(asked)), np.array([len(s) for s, _ in asked]))
+            token, tested = np.concatenate([s for s, _ in asked]), np.concatenate([t for _, t in asked])
+            m = mixed(token, 1)
+            part = ((m >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            found, (x, y) = packed(part, m.astype("<u4"), np.where(tested, owner, NOBODY).astype("<u2"))
+            yield rows(1, len(found), block=[block] * len(found), range=found.tolist(), x=x, y=y)
+            need = [int(t.sum()) - prefix_size(n) for (_, t), (_, n) in zip(asked, sets, strict=True)]
+            yield rows(2, 1, block=[block], x=[np.array([s for s, _ in sets], "<i8").tobytes()], y=[np.array(need, "<i8").tobytes()])
+
+        seen: set[int] = set()
         for batch in batches:
-            kinds, sizes, ids, fresh, held = [batch.column(k).type for k in keys], [], [], [], 0
+            own = [batch.column(k).type for k in keys]
+            sizes, sids, checks = [], [], []
             for text in texts_of(batch):
                 s = shingles(text)
-                sid = set_id(s) if len(s) else None
+                sid, check = set_id(s) if len(s) else (None, None)
                 sizes.append(len(s))
-                ids.append(sid)
-                if sid is not None and sid not in seen:  # copies within a task count once
-                    seen.add(sid)
-                    fresh.append((s >> np.uint64(BESIDE)).astype(np.int64))
-                    held += len(s)
-                if held > 1_000_000:
-                    np.add.at(counts, np.concatenate(fresh), np.uint16(1))
-                    total, fresh, held = total + held, [], 0
-            if len(seen) > 500_000:
-                seen.clear()
-            if fresh:
-                np.add.at(counts, np.concatenate(fresh), np.uint16(1))
-                total += held
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=[*keys, "n", "sid", "counts"])
-        mean = total / SKETCH
-        at = np.flatnonzero(counts >= max(2, mean + 2 * mean**0.5))
-        if len(at):
-            own = at // (SKETCH // RANGES)
-            cut = np.flatnonzero(np.diff(own, prepend=-1))
-            blobs = [at[a:b].astype("<u4").tobytes() + counts[at[a:b]].astype("<u2").tobytes() for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(cut), kind) for kind in kinds), pa.array(-1 - own[cut]), pa.nulls(len(cut), pa.int64()), pa.array(blobs, pa.binary())], names=[*keys, "n", "sid", "counts"])
-
-    return map_batches(slim, run, ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, sid bigint, counts binary")
-
-
-def hot_buckets(sets: DataFrame) -> DataFrame:
-    """[bucket, n] of the sketch's buckets that were met LEAST times or more: the tasks' counts summed by range."""
-
-    def group(t: pa.Table) -> pa.Table:
-        size = SKETCH // RANGES
-        start = (-1 - t.column("n")[0].as_py()) * size
-        total = np.zeros(size, np.int64)
-        for blob in t.column("counts").to_pylist():
-            k = len(blob) // 6
-            total[np.frombuffer(blob, "<u4", k).astype(np.int64) - start] += np.frombuffer(blob, "<u2", k, 4 * k)
-        at = np.flatnonzero(total >= LEAST)
-        return pa.table({"bucket": pa.array(at + start), "n": pa.array(total[at])})
-
-    return sets.where("n < 0").select("n", "counts").groupBy("n").applyInArrow(group, "bucket bigint, n bigint")
-
-
-def index_entries(slim: DataFrame, counts: np.ndarray, buckets: np.ndarray, parts: int) -> DataFrame:
-    """[part, tokens, sids, salted]: prefix shingles under the first order, packed for each partition of the index."""
-    sc = slim.sparkSession.sparkContext
-    hot = sc.broadcast((buckets, counts))  # HOT numbers at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, doublings = np.zeros(SKETCH, np.uint8), np.zeros(SKETCH, np.uint8)
-        level[hot.value[0]] = np.minimum(63, 1 + 2 * np.log2(np.maximum(hot.value[1], 8) / 8))
-        doublings[hot.value[0]] = np.ceil(np.log2(np.maximum(hot.value[1], CHUNK) / CHUNK))
-
-        def packed(tokens: list, sids: list) -> Iterator[pa.RecordBatch]:
-            token, n = np.concatenate(tokens), [len(t) for t in tokens]
-            sid = np.repeat(np.array(sids, np.int64), n)
-            m, bucket = mixed(token, 1), (token >> np.uint64(BESIDE)).astype(np.int64)
-            salt = np.int64(1) << doublings[bucket].astype(np.int64)
-            salted = (salt > 1).astype(np.uint8)
-            part = ((m >> np.uint64(32)).astype(np.int64) + (sid & 0x7FFFFFFF) % salt * 7919) % parts
-            order = np.argsort(part, kind="stable")
-            part, low, sid, salted = part[order], m[order].astype(np.uint32), sid[order], salted[order]
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = np.append(cut[1:], len(part))
-            cols = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for x in (low, sid, salted)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "tokens", "sids", "salted"])
-
-        seen, tokens, sids, held = set(), [], [], 0
-        for batch in batches:
-            for text in texts_of(batch):
-                s = shingles(text)
-                if not len(s) or (sid := set_id(s)) in seen:
-                    continue
-                seen.add(sid)
-                p = prefix_size(len(s))
-                key = (level[(s >> np.uint64(BESIDE)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(s) >> np.uint64(6))
-                tokens.append(s[np.argpartition(key, p - 1)[:p]])
                 sids.append(sid)
-                held += p
-                if held > 2_000_000:
-                    yield from packed(tokens, sids)
-                    tokens, sids, held = [], [], 0
-            if len(seen) > 500_000:
-                seen.clear()
-        if tokens:
-            yield from packed(tokens, sids)
-
-    return map_batches(slim, run, "part bigint, tokens binary, sids binary, salted binary")
-
+                checks.append(check)
+                if sid is None or (sid, check) in seen:
+                    continue
+                seen.add((sid, check))
+                draw = (s >> np.uint64(40)).astype(np.float64) / (1 << 24)
+                own_share, partners = asked_share(len(s)), asked_share(len(s) * 100 / PERCENT)
+                sets.append((sid, len(s)))
+                asked.append((s[draw < own_share], draw[draw < own_share] < partners))
+                held += len(asked[-1][0])
+                if held > BLOCK_TOKENS or len(sets) >= BLOCK_SETS:
+                    yield from block_rows()
+                    block, sets, asked, held = block + 1, [], [], 0
+                    seen.clear()
+            plain = rows(0, len(sizes), n=sizes, sid=sids, check=checks)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), *plain.columns[len(keys) :]], names=names)
+        if sets:
+            yield from block_rows()
+
+    return map_batches(slim, run, ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys) + ", kind int, n bigint, sid bigint, check bigint, block bigint, range bigint, x binary, y binary")
+
+
+def undecided(both: DataFrame) -> DataFrame:
+    """[sid] of the sets that may have a link, from the blocks of document_sets: those with enough shingles that some other set asks for as well."""
+
+    def common(t: pa.Table) -> pa.Table:
+        size = [len(b) // 4 for b in t.column("x").to_pylist()]
+        token, owner = unpacked(t, x="<u4", y="<u2")
+        block = np.repeat(np.array(t.column("block").to_pylist(), np.int64), size)
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        shared = np.zeros(len(token), bool)
+        shared[order[1:]] |= same
+        shared[order[:-1]] |= same
+        shared &= owner != NOBODY
+        found, (owners,) = packed(block[shared], owner[shared])
+        return pa.table({"block": pa.array(found, pa.int64()), "x": pa.nulls(len(found), pa.binary()), "y": pa.array(owners, pa.binary())})
+
+    def judged(t: pa.Table) -> pa.Table:
+        sets = t.filter(pc.is_valid(t.column("x")))
+        sid, need = unpacked(sets, x="<i8", y="<i8")
+        (owner,) = unpacked(t.filter(pc.is_null(t.column("x"))), y="<u2")
+        return pa.table({"sid": pa.array(sid[np.bincount(owner, minlength=len(sid)) > need], pa.int64())})
+
+    answers = both.where("kind = 1").select("range", "block", "x", "y").groupBy("range").applyInArrow(common, "block bigint, x binary, y binary")
+    return answers.unionByName(both.where("kind = 2").select("block", "x", "y")).groupBy("block").applyInArrow(judged, "sid bigint")
+
+
+def prefixes(texts: DataFrame, n_sets: int) -> DataFrame:
+    """[sid, n, cells, p0, p1, ...] of the sets that have a common shingle in their prefix: cells count the common shingles by hash and by level, p0, p1, ... are the common shingles of the prefix under each global order.
+
+    A shingle's level is the logarithm of the number of sets that have it, worked out by ranges of the shingles
+    and sent back to the sets; every order has rarer levels first, and then goes by a hash of its own. A shingle
+    of one set only stands before all others and links nothing, so it takes a place in the prefix and no more.
+    """
+    parts = -(-n_sets // SHARE) + 15
 
-def postings(entries: DataFrame) -> DataFrame:
-    """[token, chunk, sids]: for every prefix shingle of two sets or more, the sets, CHUNK at most in a row."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(map(shingles, texts_of(batch)))
+            sid = np.repeat(np.array(batch.column("sid").to_pylist(), "<i8"), np.array(list(map(len, sets)), np.int64))
+            m = mixed(np.concatenate([*sets, np.empty(0, np.uint64)]), 1)
+            part = ((m >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            found, (x, y) = packed(part.astype(np.int64), m.astype("<u4"), sid)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["part", "x", "y"])
 
-    def group(t: pa.Table) -> pa.Table:
+    def levels(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        token, sid, salted = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("tokens", "<u4"), ("sids", "<i8"), ("salted", "u1")))
+        token, sid = unpacked(t, x="<u4", y="<i8")
         order = np.lexsort((sid, token))
-        token, sid, salted = token[order], sid[order], salted[order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-        token, sid, salted = token[new], sid[new], salted[new]
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        start = np.flatnonzero(first)
+        token, sid = token[order], sid[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])  # a set whose id is repeated
+        token, sid = token[new], sid[new]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(start, len(token)))
-        salted = np.bitwise_or.reduceat(salted, start) > 0
-        rows: list[tuple[int, int, np.ndarray]] = []
-        for a, n, many in zip(start.tolist(), size.tolist(), salted.tolist(), strict=True):
-            if n < 2 and not many:
-                continue
-            key = int(token[a]) if many else (part + 1) << 32 | int(token[a])
-            rows += [(key, part << 20 | (lo - a) // CHUNK, sid[lo : min(lo + CHUNK, a + n)]) for lo in range(a, a + n, CHUNK)]
-        return pa.table({"token": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "sids": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
-
-    return entries.groupBy("part").applyInArrow(group, "token bigint, chunk bigint, sids array<bigint>")
+        level = np.repeat(np.ceil(np.log2(size)), size).astype("u1")
+        many = level > 0
+        found, (x, y, z) = packed(sid[many] % parts, sid[many], (np.int64(part) << 32) | token[many], level[many])
+        return pa.table({"part": pa.array(found, pa.int64()), "x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary()), "z": pa.array(z, pa.binary()), "sid": pa.nulls(len(found), pa.int64()), "n": pa.nulls(len(found), pa.int64())})
+
+    names = [f"p{k}" for k in range(len(ORDERS))]
+
+    def prefix(t: pa.Table) -> pa.Table:
+        sizes = dict(zip(t.column("sid").to_pylist(), t.column("n").to_pylist(), strict=True))
+        sid, token, level = unpacked(t, x="<i8", y="<i8", z="u1")
+        order = np.argsort(sid, kind="stable")
+        sid, token, level = sid[order], token[order], level[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(sid)), bool), sid[1:] != sid[:-1]]))
+        out: list[tuple] = []
+        for a, b in zip(start.tolist(), np.append(start, len(sid))[1:].tolist(), strict=True):
+            n, own, at = sizes[int(sid[a])], token[a:b], level[a:b]
+            p = prefix_size(n) - (n - len(own))
+            if p > 0:
+                cells = np.concatenate([np.bincount(mixed(own.astype(np.uint64)).astype(np.int64) % CELLS, minlength=CELLS), np.bincount(np.minimum(at, LEVELS - 1), minlength=LEVELS)])
+                firsts = [own[np.lexsort((mixed(own.astype(np.uint64), salt), at))[:p]] for salt in ORDERS]
+                out.append((int(sid[a]), n, np.minimum(cells, FULL).astype("<u2").tobytes(), *firsts))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * len(ORDERS)]
+        return pa.table({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(["sid", "n", "cells", *names], kinds, strict=True))})
+
+    common = map_batches(texts.select("sid", "text"), spread, "part bigint, x binary, y binary").groupBy("part").applyInArrow(levels, "part bigint, x binary, y binary, z binary, sid bigint, n bigint")
+    sets = texts.select(F.pmod("sid", F.lit(parts)).alias("part"), *[F.lit(None).cast("binary").alias(c) for c in "xyz"], "sid", "n")
+    return common.unionByName(sets).groupBy("part").applyInArrow(prefix, "sid bigint, n bigint, cells binary, " + ", ".join(f"{p} array<bigint>" for p in names))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -286,17 +312,17 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 s = shingles(text)
                 if not leaf:
                     at, own = (a, g), s
-                elif at == (a, g) and linked(own, s):
+                elif at == (a, g) and alike(own, s):
                     out.append((a, sid))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     return map_batches(rows.select("a", "g", "sid", "leaf", "text"), run, "a bigint, b bigint")
 
 
-def hubs(lists: DataFrame) -> DataFrame:
+def hubs(entries: DataFrame) -> DataFrame:
     """[hub, sid]: each set beside the hub (the least set of a posting) that it shares most postings with, and each hub beside itself."""
-    least = lists.groupBy("token").agg(F.min(F.array_min("sids")).alias("hub"))
-    each = lists.join(least, "token").select("hub", F.explode("sids").alias("sid")).where("hub <> sid")
+    least = entries.groupBy("token").agg(F.min("sid").alias("hub"))
+    each = entries.join(least, "token").where("hub <> sid")
     often = each.groupBy("sid", "hub").agg(F.count("*").alias("n"))
     best = often.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("m.hub").alias("hub"), "sid")
     return best.unionByName(best.select("hub", F.col("hub").alias("sid")).distinct())
@@ -339,13 +365,13 @@ def near_links(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
     return map_batches(rows, run, "a bigint, b bigint")
 
 
-def gathered(lists: DataFrame, texts: DataFrame) -> DataFrame:
+def gathered(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """[node, component]: sets that are surely connected, so that large groups of near copies need no comparison of all their pairs.
 
     After the first turn a hub keeps PICKED sets of each component, and they are grouped anew, as long as a hub has
     several groups. Links that this misses are found by open_pairs.
     """
-    every = written(hubs(lists), "hubs")
+    every = written(hubs(entries), "hubs")
     members, links, labels = every, None, None
     for turn in range(MOST_TURNS):
         found = written(near_links(members, texts, turn), "links")
@@ -360,75 +386,98 @@ def gathered(lists: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
-def columns(sets: pa.StructArray) -> list[np.ndarray]:
-    """(sid, n, label, histogram) of a chunk's sets."""
-    plain = [sets.field(f).to_numpy(zero_copy_only=False) for f in ("sid", "n", "label")]
-    return [*plain, np.frombuffer(b"".join(sets.field("cells").to_pylist()), np.uint8).reshape(-1, CELLS)]
-
+def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """[a, b]: distinct pairs that share a prefix shingle under every order, whose components (labels: [node, component]) differ, and whose cells leave room.
 
-def open_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct candidate pairs whose components (labels: [node, component]) differ and whose histograms leave room, of every chunk and every pair of chunks of a posting."""
-    each = lists.select("token", "chunk", F.explode("sids").alias("sid"))
-    known = texts.select("sid", "n", "cells").dropDuplicates(["sid"]).join(labels, F.col("sid") == F.col("node"), "left").select("sid", F.struct("sid", "n", "cells", F.coalesce("component", "sid").alias("label")).alias("e"))
-    open_ = each.join(known.select("sid", F.col("e.label").alias("label")), "sid").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    chunks = each.join(open_, "token", "left_semi").join(known, "sid").groupBy("token", "chunk").agg(F.collect_list("e").alias("es"))  # CHUNK rows a group at most
-    chunks = written(chunks, "chunks")
-    alone = chunks.select(F.col("es").alias("x"), F.array().cast(chunks.schema["es"].dataType).alias("y"))
-    l, r = (chunks.select("token", F.col("chunk").alias(f"{c}c"), F.col("es").alias(c)) for c in ("x", "y"))
-    several = chunks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    cross = l.join(several, "token", "left_semi").join(r, "token").where("xc < yc").select("x", "y")
+    Under the first order each posting is compared in blocks of CHUNK sets by CHUNK, each block a key of its own.
+    The further orders are intersected by the pairs' own prefixes, before any text is read.
+    """
+    known = index.join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid"))
+    entries = written(known.select(F.explode("p0").alias("token"), "sid", "n", "label", "cells"), "entries")
+    sizes = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).where("lo <> hi").select("token", "k")
+    mine = entries.join(sizes, "token").withColumn("x", F.pmod(F.xxhash64("sid"), "k").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    blocks = mine.select("token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "sid", "n", "label", "cells")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def compared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (_, i, j), chunk = rows[0][:3], np.array([r[3] for r in rows])
+        sid, n, label = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6))
+        cells = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), -1)
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        for lo in range(0, len(left), 256):
+            part = left[lo : lo + 256]
+            p, q = np.nonzero((label[part][:, None] != label[right]) & ((part[:, None] < right) if i == j else True))
+            p, q = part[p], right[q]
+            fit = 100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q])
+            p, q = p[fit], q[fit]
+            for at in range(0, len(p), 50_000):
+                a, b = p[at : at + 50_000], q[at : at + 50_000]
+                fit = may_link(n[a], n[b], cells[a], cells[b])
+                a, b = sid[a[fit]], sid[b[fit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []  # of one block, twice CHUNK or so
         for batch in batches:
-            for row in range(len(batch)):
-                x, y = (columns(batch.column(c)[row].values) for c in ("x", "y"))
-                same = not len(y[0])
-                y = x if same else y
-                for lo in range(0, len(x[0]), 256):
-                    part = [c[lo : lo + 256] for c in x]
-                    apart = part[2][:, None] != y[2]
-                    p, q = np.nonzero(apart & (part[0][:, None] < y[0]) if same else apart)
-                    fit = 100 * np.minimum(part[1][p], y[1][q]) >= PERCENT * np.maximum(part[1][p], y[1][q])
-                    p, q = p[fit], q[fit]
-                    for at in range(0, len(p), 50_000):  # a pair's histograms are 2 * CELLS bytes
-                        i, j = p[at : at + 50_000], q[at : at + 50_000]
-                        fit = may_link(part[1][i], y[1][j], part[3][i], y[3][j])
-                        a, b = part[0][i[fit]], y[0][j[fit]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return map_batches(alone.unionByName(cross), run, "a bigint, b bigint").distinct()
-
-
-def labelled(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of [id, text, ...]: [id, ..., n, sid] of every row, and [sid, rep, label] of every set, label being one set of its component."""
-    both = written(document_sets(slim), "sets")
-    sets = both.where("n >= 0").drop("counts")
-    sketch = hot_buckets(both).orderBy(F.desc("n"), "bucket").limit(HOT).toArrow()  # the most frequent, which matter most
-    n_docs = sets.count()
-    entries = index_entries(slim, sketch["n"].to_numpy(), sketch["bucket"].to_numpy(), -(-n_docs // SHARE) + 15)
-    lists = written(postings(entries), "postings")
-    classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep")), "classes")
-    wanted = lists.select(F.explode("sids").alias("sid")).distinct().join(classes, "sid")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][:3] != row[:3]:
+                    yield from compared(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from compared(rows)
+
+    pairs = map_batches(blocks, run, "a bigint, b bigint").distinct()
+    further = [f"p{k}" for k in range(1, len(ORDERS))]
+    for side in "ab":
+        pairs = pairs.join(index.select(F.col("sid").alias(side), *[F.col(p).alias(f"{p}{side}") for p in further]), side)
+    for p in further:
+        pairs = pairs.where(F.arrays_overlap(f"{p}a", f"{p}b"))
+    return pairs.select("a", "b")
+
+
+def class_texts(slim: DataFrame, wanted: DataFrame, moved: frozenset[int]) -> DataFrame:
+    """[sid, n, text] of the classes in wanted ([sid, rep]); an id that is repeated may have other texts as well, which are left out."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an id that is repeated may have other texts as well
+        for batch in batches:
             sets = list(map(shingles, texts_of(batch)))
-            own = pa.array([set_id(s) == sid for s, sid in zip(sets, batch.column("sid").to_pylist(), strict=True)], pa.bool_())
-            out = [batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(histogram, sets)), pa.binary()), batch.column("text")]
-            yield pa.RecordBatch.from_arrays(out, names=["sid", "n", "cells", "text"]).filter(own)
+            own = pa.array([len(s) > 0 and set_id(s, moved)[0] == sid for s, sid in zip(sets, batch.column("sid").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), batch.column("text")], names=["sid", "n", "text"]).filter(own)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids = pa.array([set_id(s) if len(s) else None for s in map(shingles, texts_of(batch))], pa.int64())
+            sids = pa.array([set_id(s, moved)[0] if len(s) else None for s in map(shingles, texts_of(batch))], pa.int64())
             yield pa.RecordBatch.from_arrays([sids, batch.column("text")], names=["sid", "text"])
 
-    found = slim.join(wanted, F.col("id") == F.col("rep")).select("sid", "text")
-    if not classes.where("rep is null").isEmpty():  # sets that only rows without an id hold: a text of each
-        nameless = map_batches(slim.where("id is null").select("text"), held, "sid bigint, text string")
-        found = found.unionByName(nameless.join(wanted.where("rep is null"), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")))
-    texts = written(map_batches(found, own, "sid bigint, n bigint, cells binary, text string"), "texts")
-    sure = gathered(lists, texts)
-    rest = verified(open_pairs(lists, sure, texts), texts)
+    named, nameless = wanted.where("rep is not null"), wanted.where("rep is null")
+    few = named.limit(FEW + 1).count() <= FEW
+    found = slim.join(F.broadcast(named) if few else named, F.col("id") == F.col("rep")).select("sid", "text")
+    if not nameless.isEmpty():  # sets that only rows without an id hold: a text of each
+        texts = map_batches(slim.where("id is null").select("text"), held, "sid bigint, text string")
+        found = found.unionByName(texts.join(nameless, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")))
+    return map_batches(found, own, "sid bigint, n bigint, text string")
+
+
+def labelled(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of [id, text, ...]: [id, ..., n, sid] of every row, and [sid, rep, label] of every set, label being one set of its component."""
+    both = written(document_sets(slim, -(-slim.count() // SHARE) + 15), "sets")
+    sets = both.where("kind = 0").drop("kind", "block", "range", "x", "y")
+    met = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")), "classes")
+    moved = frozenset(r["sid"] for r in met.where("lo <> hi").select("sid").collect())  # of s sets s**2 / 2**65 are to be expected
+    classes, maybe = met.select("sid", "rep"), undecided(both).distinct()
+    if moved:
+        sets = sets.withColumn("sid", F.when(F.col("sid").isin(*moved), F.col("sid").bitwiseXOR(F.col("check"))).otherwise(F.col("sid")))
+        classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep")), "classes")
+        again = sets.where(F.col("sid").bitwiseXOR(F.col("check")).isin(*moved)).select("sid").distinct()
+        maybe = maybe.where(~F.col("sid").isin(*moved)).unionByName(again)
+    sets = sets.drop("check")
+    wanted = written(maybe.join(classes, "sid"), "wanted")
+    texts = written(class_texts(slim, wanted, moved), "texts")
+    index = written(prefixes(texts, wanted.count()), "index")
+    sure = gathered(index.select(F.explode("p0").alias("token"), "sid"), texts)
+    rest = verified(open_pairs(index, sure), texts)
     labels = connected_components(sure.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
     return sets, classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import exact_dedup, exact_topk, mixing, ngram_join, queries
@@ -143,16 +144,45 @@ def test_ngram_join(spark, seed, monkeypatch):
 
 def test_chunks_of_postings(spark, monkeypatch):
     """Pairs across the chunks of a posting are found as well, also if nothing is gathered before."""
-    rows = near_copies(4, 25)
-    docs = frame(spark, rows).select("doc_id", "text")
-    sets = {ngram_join.set_id(s): s for _, t, _ in rows if len(s := ngram_join.shingles(t))}
-    ids = sorted(sets)
-    lists = spark.createDataFrame([(1, c, ids[c * 4 : c * 4 + 4]) for c in range(-(-len(ids) // 4))], "token long, chunk long, sids array<long>")
-    texts = spark.createDataFrame([(k, len(s), bytearray(ngram_join.histogram(s)), "") for k, s in sets.items()], "sid long, n long, cells binary, text string")
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    rows = near_copies(4, 80)
+    sets = {ngram_join.set_id(s)[0]: (s, t) for _, t, _ in rows if len(s := ngram_join.shingles(t))}
+    texts = spark.createDataFrame([(k, len(s), t) for k, (s, t) in sets.items()], "sid long, n long, text string")
+    index = ngram_join.prefixes(texts, len(sets)).cache()
     labels = spark.createDataFrame([], "node long, component long")
-    got = {tuple(r) for r in ngram_join.open_pairs(lists, labels, texts).collect()}
-    want = {(a, b) for a in ids for b in ids if a < b and ngram_join.linked(sets[a], sets[b])}
-    assert want <= got and docs.count() == len(rows)
+    got = {tuple(r) for r in ngram_join.open_pairs(index, labels).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and ngram_join.alike(sets[a][0], sets[b][0])}
+    assert len(want) > 10 and want <= got
+    index.unpersist()
+
+
+def test_sets_without_a_link_leave_early(spark):
+    """No set with a link is left out by the sample of shingles, and most others are."""
+    rows = near_copies(5, 60)
+    sets = {ngram_join.set_id(s)[0]: s for _, t, _ in rows if len(s := ngram_join.shingles(t))}
+    linked = {a for a in sets for b in sets if a != b and ngram_join.alike(sets[a], sets[b])}
+    docs = frame(spark, rows).select(F.col("doc_id").alias("id"), "text").repartition(5)
+    got = {r[0] for r in ngram_join.undecided(ngram_join.document_sets(docs, 7).cache()).collect()}
+    assert linked <= got < set(sets)
+
+
+def test_ngram_join_tells_texts_apart_that_a_digest_does_not(spark, monkeypatch):
+    real = ngram_join.set_id
+
+    def weak(s, moved=frozenset()):
+        sid, check = real(s)
+        return ((sid & 3) ^ check if sid & 3 in moved else sid & 3), check
+
+    monkeypatch.setattr(ngram_join, "set_id", weak)
+    rows = near_copies(3, 12)
+    assert sorted(map(tuple, ngram_join.components(frame(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_ngram_join_has_no_words_that_hash_alike_by_design(spark):
+    """Thue-Morse words and their complements meet under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[x] for x in bits), "s"), (2, "".join("ba"[x] for x in bits), "s"), (3, "".join("AB"[x] for x in bits), "s")]
+    assert sorted(map(tuple, ngram_join.components(frame(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
 
 
 def test_ngram_join_of_nothing(spark):
