@@ -3,6 +3,7 @@
 import pytest
 
 from quadrille.operators import graphs
+from quadrille.operators import components
 from quadrille.operators.components import connected_components
 from quadrille.operators.rules import inconsistencies, materialize
 from quadrille.sources.rdf import from_text, lines
@@ -51,7 +52,9 @@ def test_inconsistencies(spark):
     assert {r["rule"] for r in inconsistencies(d).collect()} == {"cax-dw"}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [3, 500_000])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (5, 5)], "a int, b int")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
