@@ -369,7 +369,7 @@ def gathered(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """[node, component]: sets that are surely connected, so that large groups of near copies need no comparison of all their pairs.
 
     After the first turn a hub keeps PICKED sets of each component, and they are grouped anew, as long as a hub has
-    several groups. Links that this misses are found by open_pairs.
+    several groups and that finds links. Links that this misses are found by open_pairs.
     """
     every = written(hubs(entries), "hubs")
     members, links, labels = every, None, None
@@ -378,7 +378,7 @@ def gathered(entries: DataFrame, texts: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         labels = written(connected_components(links), "labels")
         several = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("hub")
-        if several.isEmpty():
+        if several.isEmpty() or turn and found.isEmpty():
             break
         named = every.join(several, "hub", "left_semi").join(labels, F.col("sid") == F.col("node"), "left").select("hub", "sid", F.coalesce("component", "sid").alias("label"))
         order = Window.partitionBy("hub", "label").orderBy(F.xxhash64("sid", F.lit(turn)))
