@@ -9,7 +9,7 @@ a digest for which they differ is keyed by its full text instead.
 
 Defined results: null counts as the empty text; texts are equal when their UTF-8 bytes are; of equal
 texts the largest id stays; rows that repeat an id are counted each, and all rows of the id that stays
-are kept. An empty table gives no rows. A null id is less than all others: a text that only rows without
+are marked as kept (keep_one leaves one of them). An empty table gives no rows. A null id is less than all others: a text that only rows without
 an id hold has keep_id null. kept is null for rows without an id, as in SQL; keep_one leaves them out
 unless null_ids is set, which keeps those whose text no row with an id holds.
 """
@@ -89,9 +89,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
-    """docs without the copies: rows whose id stays, with all their columns; with null_ids also the rows without an id whose text no row with an id holds."""
+    """docs without the copies: of each text one row whose id stays, with all its columns (of rows alike in id and text the least by all columns); with null_ids also one row of a text that no row with an id holds."""
     found = duplicates(docs, id_col, text_col)
     kept = F.col(id_col).eqNullSafe(F.col("keep_id")) if null_ids else F.col("kept")
-    stay = found.where(kept).select(F.col(id_col).alias("__stay_id"), F.col("digest").alias("__stay_digest")).distinct()
-    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (text == F.col("__stay_digest")), "left_semi")
+    stay = written(found.where(kept).groupBy(F.col(id_col).alias("__stay_id"), F.col("digest").alias("__stay_digest")).agg(F.count("*").alias("__stay_rows")), "stay")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+    def rows(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (digest == F.col("__stay_digest")), "left_semi")
+
+    several = stay.where("__stay_rows > 1")
+    if several.isEmpty():
+        return rows(stay)
+    one = rows(several).groupBy(F.col(id_col).alias("__stay_id"), digest.alias("__stay_digest")).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return rows(stay.where("__stay_rows = 1")).unionByName(one)

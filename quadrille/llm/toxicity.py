@@ -1,12 +1,12 @@
-"""Toxicity by nearest labelled examples under TF-IDF cosine, exact within a cut vocabulary (LEAST_SHARE).
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms of the examples.
 
 Up to EXAMPLES labelled texts are kept as an inverted index: for each term its postings in the order of the
 examples, which stand in blocks of BLOCK, and for each term and block the greatest weight (the block
 maximum). Postings of frequent terms, which nearly every block has, are dense columns, and a batch of texts
-multiplies them at once. A text's other terms and the block maxima bound its cosine with every example of a
+multiplies them at once. Postings of terms that are in few examples are short: they are added in full
+before anything is bounded. A text's other terms and the block maxima bound its cosine with every example of a
 block; the blocks of the greatest bounds are scored exactly, and then those that can still hold one of the
-K nearest. The K nearest vote,
-weighted by 1 / distance; the share of toxic votes is turned into a probability by an isotonic fit on the
+K nearest. Terms are known by 64-bit hashes. The K nearest vote, weighted by 1 / distance; the share of toxic votes is turned into a probability by an isotonic fit on the
 examples themselves, each left out of its own vote. The neighbours are the evidence.
 
 Defined results: null and empty texts, and texts without a known term, get the examples' rate of label 1;
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quadrille.llm.common import map_batches, texts_of, written
 
@@ -37,8 +38,8 @@ K = 31
 DENSE_SHARE = 1 / 10
 #: Texts that are scored at once.
 BATCH = 64
-#: Terms must be in this share of the examples, and in two of them.
-LEAST_SHARE = 0.0015
+#: Terms of less than this share of the examples have no block maxima: their postings are short and added in full.
+RARE_SHARE = 0.0015
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -47,10 +48,14 @@ def terms(text: str) -> Counter[str]:
     return Counter(WORD.findall(text.lower()))
 
 
+def hashed(tf: dict[str, int]) -> np.ndarray:
+    return np.fromiter((xxh3_64_intdigest(t) for t in tf), np.uint64, len(tf))
+
+
 class BlockMaxIndex:
-    """Examples in the order of their ids, as flat arrays: terms (numbers in the vocabulary) and counts, `sizes` of them an example. order[i]: which of them stands at place i."""
+    """Examples in the order of their ids, as flat arrays: terms (numbers in the vocabulary, which are sorted hashes) and counts, `sizes` of them an example. order[i]: which of them stands at place i."""
 
-    def __init__(self, vocabulary: list[str], df: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
         n = len(labels)
         # Examples stand by their weightiest frequent term, so that a block's are alike and its maxima tell; then as they came.
         frequent = df > DENSE_SHARE * n
@@ -63,7 +68,7 @@ class BlockMaxIndex:
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         labels, doc = labels[self.order], place[doc]
-        self.term = {t: i for i, t in enumerate(vocabulary)}
+        self.vocabulary = vocabulary
         self.idf = np.log((n + 1) / df).astype(np.float32)
         self.labels = labels.astype(np.float64)
         self.n_blocks = -(-n // BLOCK)
@@ -76,35 +81,43 @@ class BlockMaxIndex:
         dense = self.column[at] >= 0
         self.dense = np.zeros((self.n_blocks * BLOCK, len(often)), np.float32)
         self.dense[doc[dense], self.column[at[dense]]] = w[dense]
-        doc, at, w = doc[~dense], at[~dense], w[~dense]
+        seldom = df < RARE_SHARE * n
+        few = seldom[at]
+        order = np.flatnonzero(few)[np.argsort(at[few], kind="stable")]
+        self.rare_doc, self.rare_weight = doc[order].astype(np.int32), w[order]
+        self.rare_start = np.searchsorted(at[order], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        between = np.flatnonzero(~frequent & ~seldom)
+        self.middle = np.full(len(vocabulary), -1, np.int32)  # numbers of the terms that have block maxima
+        self.middle[between] = np.arange(len(between))
+        rest = ~dense & ~few
+        doc, at, w = doc[rest], self.middle[at[rest]], w[rest]
         order = np.lexsort((doc, at))
         self.doc, self.weight = doc[order].astype(np.int32), w[order]
         block = at[order].astype(np.int64) * self.n_blocks + self.doc // BLOCK
-        self.start = np.searchsorted(block, np.arange(len(vocabulary) * self.n_blocks + 1)).astype(np.int32)
-        maxima = np.zeros(len(vocabulary) * self.n_blocks, np.float32)
+        self.start = np.searchsorted(block, np.arange(len(between) * self.n_blocks + 1)).astype(np.int32)
+        maxima = np.zeros(len(between) * self.n_blocks, np.float32)
         np.maximum.at(maxima, block, self.weight)
-        self.maxima = maxima.reshape(len(vocabulary), self.n_blocks)
+        self.maxima = maxima.reshape(len(between), self.n_blocks)
         self.rate = float(self.labels.mean()) if n else 0.0
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
 
     @staticmethod
-    def of(examples: list[tuple[dict[str, int], int]], share: float = LEAST_SHARE) -> BlockMaxIndex:
+    def of(examples: list[tuple[dict[str, int], int]]) -> BlockMaxIndex:
         """From (terms with counts, label) in memory."""
-        df = Counter(t for tf, _ in examples for t in tf)
-        known = sorted(t for t, d in df.items() if d >= max(2, share * len(examples)))
-        number = {t: i for i, t in enumerate(known)}
-        rows = [[(number[t], c) for t, c in tf.items() if t in number] for tf, _ in examples]
-        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
-        return BlockMaxIndex(known, np.array([df[t] for t in known], np.float64), np.array([y for _, y in examples], np.float64), np.array([len(r) for r in rows], np.int64), flat[:, 0], flat[:, 1])
+        every = np.concatenate([np.empty(0, np.uint64), *(hashed(tf) for tf, _ in examples)])
+        known, df = np.unique(every, return_counts=True)
+        counts = np.array([c for tf, _ in examples for c in tf.values()], np.int64)
+        return BlockMaxIndex(known, df.astype(np.float64), np.array([y for _, y in examples], np.float64), np.array([len(tf) for tf, _ in examples], np.int64), np.searchsorted(known, every), counts)
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of length 1: (1 + log tf) * idf."""
-        term = self.term
-        found = [(i, c) for t, c in tf.items() if (i := term.get(t)) is not None]
-        if not found:
+        if not tf or not len(self.vocabulary):
             return np.empty(0, np.int64), np.empty(0, np.float32)
-        at, count = np.array(found, np.int64).T
-        return at, self.weighed(at, count)
+        own = hashed(tf)
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == own
+        at = at[known]
+        return at, self.weighed(at, np.fromiter(tf.values(), np.int64, len(tf))[known])
 
     def weighed(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         if not len(at):
@@ -122,10 +135,15 @@ class BlockMaxIndex:
                 c = self.column[at]
                 q[i, c[c >= 0]] = w[c >= 0]
             scores = q @ self.dense.T
+            for i, (at, w) in enumerate(some):
+                begin = self.rare_start[at]
+                size = self.rare_start[at + 1] - begin
+                where = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+                np.add.at(scores[i], self.rare_doc[where], self.rare_weight[where] * np.repeat(w, size))
             tops = scores.reshape(len(some), self.n_blocks, BLOCK).max(2)
             for i, (at, w) in enumerate(some):
-                rare = self.column[at] < 0
-                score = self.finished(scores[i], tops[i], at[rare], w[rare], k, without[lo + i] if without else -1)
+                number = self.middle[at]
+                score = self.finished(scores[i], tops[i], number[number >= 0].astype(np.int64), w[number >= 0], k, without[lo + i] if without else -1)
                 best = self.first(score[:n], min(k, n)) if n else np.empty(0, np.int64)
                 best = best[score[best] > 0]
                 out.append((best, np.minimum(score[best], 1.0)))
@@ -237,29 +255,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             tf = [terms(x) for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([list(c) for c in tf], pa.list_(pa.string())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))],
+                [batch.column("id"), batch.column("label"), pa.array([hashed(c).view(np.int64) for c in tf], pa.list_(pa.int64())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))],
                 names=["id", "label", "terms", "counts"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    counted = written(map_batches(rows, count, f"id {kind}, label int, terms array<string>, counts array<int>"), "toxicity-terms")
-    n = counted.count()
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, LEAST_SHARE * n)).orderBy("term").toArrow()
-    vocabulary = df["term"].to_pylist()  # at most 1 / LEAST_SHARE times an example's mean number of terms
+    counted = written(map_batches(rows, count, f"id {kind}, label int, terms array<bigint>, counts array<int>"), "toxicity-terms")
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # 16 bytes for each term of the examples
+    vocabulary, met = df["term"].to_numpy().view(np.uint64), df["n"].to_numpy().astype(np.float64)
+    order = np.argsort(vocabulary)
+    vocabulary, met = vocabulary[order], met[order]
     sc = docs.sparkSession.sparkContext
-    sent_terms = sc.broadcast({t: i for i, t in enumerate(vocabulary)})
+    sent_terms = sc.broadcast(vocabulary)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent_terms.value
         for batch in batches:
-            pairs = [[(known[t], c) for t, c in zip(ts, cs, strict=True) if t in known] for ts, cs in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            ints = lambda j: pa.array([[p[j] for p in x] for x in pairs], pa.list_(pa.int32()))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), ints(0), ints(1)], names=["id", "label", "terms", "counts"])
+            numbers = [np.searchsorted(sent_terms.value, np.array(ts, np.int64).view(np.uint64)).astype(np.int32) for ts in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(numbers, pa.list_(pa.int32())), batch.column("counts")], names=["id", "label", "terms", "counts"])
 
     got = map_batches(counted, number, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.empty(0, np.int64)
-    index = BlockMaxIndex(vocabulary, df["n"].to_numpy().astype(np.float64), got["label"].to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), flat("terms"), flat("counts"))
+    index = BlockMaxIndex(vocabulary, met, got["label"].to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), flat("terms"), flat("counts"))
     if not len(index.labels):
         return index
     sent = sc.broadcast(index)

@@ -29,14 +29,14 @@ def test_dedup_edges(spark):
     assert len(got) == len(EDGE)
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] is not None} == want
     kept = exact_dedup.keep_one(frame(spark, EDGE))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "4", "5", "6"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4", "5", "6"]  # one of the two rows of id 2
     assert exact_dedup.duplicates(frame(spark, EDGE).limit(0)).count() == 0
 
 
 def test_dedup_stage_keeps_texts_without_any_id(spark):
     rows = [*EDGE, (None, "same text", "b"), (None, None, "b"), (None, "alone too", "c")]
     kept = corpus_pipeline.drop_copies(spark, frame(spark, rows), SF).collect()
-    assert sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in kept) == [("2", "same text"), ("2", "same text"), ("4", ""), ("5", "Other wor"), ("6", "x x x x x"), ("None", "alone too"), ("None", "lone")]
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in kept) == [("2", "same text"), ("4", ""), ("5", "Other wor"), ("6", "x x x x x"), ("None", "alone too"), ("None", "lone")]
     op5 = {r["text_sha256"]: r for r in exact_dedup.duplicates(frame(spark, rows)).withColumnRenamed("digest", "text_sha256").where("keep_id is null").collect()}
     assert len(op5) == 2 and all(r["kept"] is None and r["group_size"] == 1 for r in op5.values())
 

@@ -1,6 +1,7 @@
 """Token counts, BPE, toxicity, language ID, URL filters and license scans."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,18 +89,25 @@ def examples(n, seed=0):
     return out
 
 
-def test_nearest_examples_are_exact():
-    rows = examples(400)
+def test_nearest_examples_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "RARE_SHARE", 0.02)
+    monkeypatch.setattr(toxicity, "DENSE_SHARE", 0.13)
+    rows = [(i, f"{t} own{i} few{i // 3}", y) for i, t, y in examples(400)]
     index = toxicity.BlockMaxIndex.of([(dict(toxicity.terms(t)), y) for _, t, y in rows])
-    vectors = [index.vector(toxicity.terms(t)) for _, t, _ in examples(40, 5)]
-    dense = np.zeros((400, len(index.term)))
-    for place, i in enumerate(index.order):
-        at, w = index.vector(toxicity.terms(rows[i][1]))
-        dense[place, at] = w
-    for (at, w), (best, cosine) in zip(vectors, index.nearest(vectors), strict=True):
-        want = np.sort(dense[:, at] @ w)[::-1][: toxicity.K]
-        assert np.allclose(cosine, want[want > 0], atol=1e-5)
-        assert np.allclose(dense[best][:, at] @ w, cosine, atol=1e-5)
+    df = Counter(w for _, t, _ in rows for w in toxicity.terms(t))
+    assert index.rare_start[-1] and len(index.doc) and index.dense.shape[1]  # plain postings, block maxima and dense columns
+
+    def unit(text):
+        w = {t: (1 + np.log(c)) * np.log(401 / df[t]) for t, c in toxicity.terms(text).items() if t in df}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    units, asked = [unit(rows[i][1]) for i in index.order], [f"{t} few{i} own{i}" for i, t, _ in examples(40, 5)]
+    for text, (best, cosine) in zip(asked, index.nearest([index.vector(toxicity.terms(t)) for t in asked]), strict=True):
+        q = unit(text)
+        all_ = np.array([sum(q[t] * u.get(t, 0) for t in q) for u in units])
+        want = np.sort(all_)[::-1][: toxicity.K]
+        assert np.allclose(cosine, want[want > 0], atol=1e-5) and np.allclose(all_[best], cosine, atol=1e-5)
 
 
 def test_toxicity_rows(spark):
