@@ -35,6 +35,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df marked for sending to all executors if it has `most` rows at most (counted), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of a column's decimal text modulo n: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

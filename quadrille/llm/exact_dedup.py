@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import fresh_path, written
+from quadrille.llm.common import fresh_path, small, written
 
-#: Digests that are sent to all executors, at most (64 characters each).
+#: Rows of an id and a digest that are sent to all executors, at most.
 FEW = 200_000
 
 
@@ -91,15 +91,16 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
     """docs without the copies: of each text one row whose id stays, with all its columns (of rows alike in id and text the least by all columns); with null_ids also one row of a text that no row with an id holds."""
     found = duplicates(docs, id_col, text_col)
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) if null_ids else F.col("kept")
-    stay = written(found.where(kept).groupBy(F.col(id_col).alias("__stay_id"), F.col("digest").alias("__stay_digest")).agg(F.count("*").alias("__stay_rows")), "stay")
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) if null_ids else F.coalesce("kept", F.lit(False))
+    keys = found.select(F.col(id_col).alias("__id"), F.unhex("digest").alias("__digest"), kept.alias("__kept"))
+    judged = written(keys.groupBy("__id", "__digest", "__kept").agg(F.count("*").alias("__rows")).where("not __kept or __rows > 1"), "judged")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
-    def rows(keys: DataFrame) -> DataFrame:
-        return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (digest == F.col("__stay_digest")), "left_semi")
+    def matched(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(small(keys.select("__id", "__digest"), FEW), F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), how)
 
-    several = stay.where("__stay_rows > 1")
+    rest, several = matched(judged, "left_anti"), judged.where("__kept")
     if several.isEmpty():
-        return rows(stay)
-    one = rows(several).groupBy(F.col(id_col).alias("__stay_id"), digest.alias("__stay_digest")).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return rows(stay.where("__stay_rows = 1")).unionByName(one)
+        return rest
+    one = matched(several, "left_semi").groupBy(F.col(id_col).alias("__id"), digest.alias("__digest")).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return rest.unionByName(one)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_batches, texts_of, written
+from quadrille.llm.common import map_batches, small, texts_of, written
 from quadrille.operators.components import connected_components
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ PERCENT = 80
 CHUNK, LEAVES, SHARE = 2048, 256, 1024
 #: Sets of a block and shingles that it asks for, at most; the owner of shingles that are sent for the sake of others.
 BLOCK_SETS, BLOCK_TOKENS, NOBODY = 60_000, 2_000_000, 65_535
-#: Classes that are sent to all tasks (id and digest), at most; more are joined by a shuffle.
+#: Rows of ids and digests that are sent to all tasks, at most; more are joined by a shuffle.
 FEW = 500_000
 #: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
 TRIES, PICKED, MOST_TURNS = 48, 16, 6
@@ -302,7 +302,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaf = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "s").alias("g"), F.col("b").alias("sid"), F.lit(1).alias("leaf"))
     hub = spread.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("g"), F.col("a").alias("sid"), F.lit(0).alias("leaf"))
     n = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = leaf.unionByName(hub).join(texts.select("sid", "text"), "sid").repartition(int(n), "a", "g").sortWithinPartitions("a", "g", "leaf")
+    wanted = written(leaf.unionByName(hub), "wanted")
+    rows = texts.select("sid", "text").join(small(wanted, FEW), "sid").repartition(int(n), "a", "g").sortWithinPartitions("a", "g", "leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, np.uint64)
@@ -331,7 +332,8 @@ def hubs(entries: DataFrame) -> DataFrame:
 def near_links(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
     """[a, b]: connected sets of a hub, as (least, other), found in groups of about LEAVES: each set is held against up to TRIES sets of the components so far."""
     spread = members.groupBy("hub").agg(F.ceil(F.count("*") / LEAVES).cast("long").alias("s"))
-    rows = members.join(spread, "hub").select("hub", F.pmod(F.xxhash64("sid", F.lit(turn)), "s").alias("g"), "sid").join(texts.select("sid", "text"), "sid")
+    placed = written(members.join(spread, "hub").select("hub", F.pmod(F.xxhash64("sid", F.lit(turn)), "s").alias("g"), "sid"), "members")
+    rows = texts.select("sid", "text").join(small(placed, FEW), "sid")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "hub", "g").sortWithinPartitions("hub", "g", "sid").select("hub", "g", "sid", "text")
 
@@ -452,8 +454,7 @@ def class_texts(slim: DataFrame, wanted: DataFrame, moved: frozenset[int]) -> Da
             yield pa.RecordBatch.from_arrays([sids, batch.column("text")], names=["sid", "text"])
 
     named, nameless = wanted.where("rep is not null"), wanted.where("rep is null")
-    few = named.limit(FEW + 1).count() <= FEW
-    found = slim.join(F.broadcast(named) if few else named, F.col("id") == F.col("rep")).select("sid", "text")
+    found = slim.join(small(named, FEW), F.col("id") == F.col("rep")).select("sid", "text")
     if not nameless.isEmpty():  # sets that only rows without an id hold: a text of each
         texts = map_batches(slim.where("id is null").select("text"), held, "sid bigint, text string")
         found = found.unionByName(texts.join(nameless, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")))
@@ -502,12 +503,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = written(sets.where("n > 0").join(least.select("sid", "label"), "sid").select("id", "digest", "label"), "rows")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("f"), F.count("*").alias("k")).where("k > 1")
     judged = written(rows.join(first, "label").select("id", "digest", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("digest") == F.col("f.digest"))).alias("stays")), "judged")
-    gone = judged.where("not stays").select("id", "digest").distinct()
+    gone = written(judged.where("not stays").select("id", "digest").distinct(), "gone")
     again = written(judged.where("stays").groupBy("id", "digest").agg(F.count("*").alias("k")).where("k > 1").select("id", "digest"), "again")
 
     def matched(keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-        return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), how)
+        return docs.join(small(keys, FEW), F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), how)
 
     if again.isEmpty():
         return matched(gone, "left_anti")
