@@ -413,8 +413,27 @@ def merged(df: DataFrame, l: Rel, r: Rel, shared: list[str], outer: bool = False
 
 def join(l: Rel, r: Rel) -> Rel:
     l, r, shared = aligned(l, r)
-    c = condition(l, r, shared)
-    return merged(l.df.crossJoin(r.df) if c is None else l.df.join(r.df, c), l, r, shared)
+    return merged(compatible(l, r, shared), l, r, shared)
+
+
+def compatible(l: Rel, r: Rel, shared: list[str]) -> DataFrame:
+    """Pairs of compatible rows: an equi-join of those that are bound on both sides, and apart from it those that lack a variable, joined by the others."""
+    open_ = [n for n in shared if l.vars[n].maybe or r.vars[n].maybe]
+    if not open_ or len(open_) > 2:
+        c = condition(l, r, shared)
+        return l.df.crossJoin(r.df) if c is None else l.df.join(r.df, c)
+    n, rest = open_[0], [x for x in shared if x != open_[0]]
+    a, b = F.col(l.vars[n].col), F.col(r.vars[n].col)
+
+    def bound(rel: Rel) -> Rel:
+        return replace(rel, vars=rel.vars | {n: replace(rel.vars[n], maybe=False)})
+
+    out = compatible(bound(l), bound(r), shared)
+    if l.vars[n].maybe:
+        out = out.union(compatible(replace(l, df=l.df.where(a.isNull())), r, rest))
+    if r.vars[n].maybe:
+        out = out.union(compatible(replace(l, df=l.df.where(a.isNotNull())), replace(r, df=r.df.where(b.isNull())), rest))
+    return out
 
 
 def left_join(ctx: Context, l: Rel, right: object, on: object) -> Rel:
@@ -627,7 +646,8 @@ def extend(ctx: Context, rel: Rel, name: str, e: object) -> Rel:
     if has_exists(e):
         rel, e = marked(ctx, rel, e)
     v, c = expression(ctx, rel, e), fresh(name)
-    return Rel(rel.df.withColumn(c, v.col), rel.vars | {name: Binding(c, v.type, True)}, rel.rows)
+    maybe = rel.vars[e.name].maybe if isinstance(e, Var) and e.name in rel.vars else not isinstance(e, Term)
+    return Rel(rel.df.withColumn(c, v.col), rel.vars | {name: Binding(c, v.type, maybe)}, rel.rows)
 
 
 def values(ctx: Context, p: Values) -> Rel:
@@ -716,7 +736,7 @@ def grouped(ctx: Context, rel: Rel, s: Select) -> tuple[Rel, Select]:
         v = rel.value(n)
         c = fresh(n)
         keys.append(v.col.alias(c))
-        out[n] = Binding(c, v.type, True)
+        out[n] = Binding(c, v.type, n not in rel.vars or rel.vars[n].maybe)
     calls = list(dict.fromkeys(a for e in [*[e for _, e in s.items or ()], *s.having, *[e for e, _ in s.order]] for a in aggregates(e)))
     names, columns = {}, []
     for call in calls:
@@ -727,7 +747,7 @@ def grouped(ctx: Context, rel: Rel, s: Select) -> tuple[Rel, Select]:
         c = fresh("agg")
         names[call] = "." + c
         columns.append(col.alias(c))
-        out["." + c] = Binding(c, t, True)
+        out["." + c] = Binding(c, t, call.name != "COUNT")
     df = rel.df.groupBy(*keys).agg(*columns) if columns else rel.df.select(*keys).distinct()
     s = replace(s, items=s.items and tuple((n, e if e is None else replaced(e, names)) for n, e in s.items), having=tuple(replaced(e, names) for e in s.having), order=tuple((replaced(e, names), d) for e, d in s.order))
     return Rel(df, out), s

@@ -147,3 +147,15 @@ def test_closure_is_reachability(spark, edges):
     assert {tuple(r) for r in closure(df).collect()} == reach
     seeds = spark.createDataFrame([(0,)], "s int")
     assert {tuple(r) for r in closure(df, seeds).collect()} == {e for e in reach if e[0] == 0}
+
+
+def test_joins_on_grouped_and_optional_variables_have_no_nested_loop(spark, data):
+    text = "SELECT ?a ?k ?n { { SELECT ?a (COUNT(?b) AS ?k) { ?a :knows ?b } GROUP BY ?a } ?a :age ?n }"
+    assert [r[:2] for r in rows(data, text)] == [("urn:alice", 1), ("urn:bob", 1), ("urn:carol", 1)]
+    maybe = "SELECT ?a ?b ?n { ?a :name ?m OPTIONAL { ?a :knows ?b FILTER(?a = :bob) } { ?b :age ?n } }"
+    assert sorted({r[:2] for r in rows(data, maybe)}) == [(x, y) for x, y in (("urn:alice", "urn:alice"), ("urn:alice", "urn:bob"), ("urn:alice", "urn:carol"), ("urn:bob", "urn:carol"), ("urn:carol", "urn:alice"), ("urn:carol", "urn:bob"), ("urn:carol", "urn:carol"))]
+    plan = query(data, "PREFIX : <urn:> " + text)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    both = "SELECT ?a ?b { { ?a :name ?m OPTIONAL { ?a :knows ?b } } { ?b :age ?n . ?a :age ?k } }"
+    want = [("urn:alice", "urn:bob"), ("urn:bob", "urn:carol"), ("urn:carol", "urn:alice")]
+    assert rows(data, both) == want
