@@ -246,6 +246,8 @@ def relate(a: Geometry, b: Geometry) -> str:
         put = (lambda x, y, d: seen(y, x, d)) if swap else seen
         others = h.segments()
         ends = line_ends(g)
+        # What a piece of a line, or a face, lies in as a whole: single points in it, or lines in a face, do not count.
+        around, within = Geometry(lines=h.lines, polygons=h.polygons), Geometry(polygons=h.polygons)
         for p in g.points:
             if locate(p, Geometry(lines=g.lines, polygons=g.polygons)) == "E":
                 put("I", locate(p, h), 0)
@@ -258,10 +260,10 @@ def relate(a: Geometry, b: Geometry) -> str:
                 put(locate(point(u), g), locate(point(u), h), 0)
             for u, v in zip(at, at[1:], strict=False):
                 mid = point((u + v) / 2)
-                put(locate(mid, g), locate(mid, h), 1)
+                put(locate(mid, g), locate(mid, around), 1)
         for poly in g.polygons:
             for p in interior_point(poly, others):
-                put("I", locate(p, h), 2)
+                put("I", locate(p, within), 2)
     return "".join("F" if m[x, y] < 0 else str(m[x, y]) for x in "IBE" for y in "IBE")
 
 

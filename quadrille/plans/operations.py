@@ -139,20 +139,14 @@ def geo_within_box(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).where(geo.within_box(F.col("x"), F.col("y"), -1.0, -1.0, 1.0, 1.0)).select("vec_id")
 
 
-def in_squares(middles: DataFrame, p: DataFrame) -> DataFrame:
-    """[square, vec_id]: points within the squares of side 0.5 around others."""
+def in_squares(middles: DataFrame, p: DataFrame, relation: str = "sfContains") -> DataFrame:
+    """[square, vec_id]: points that the squares of side 0.5 around others have in the relation."""
     squares = middles.select(F.col("vec_id").alias("square"), F.format_string("POLYGON((%1$s %2$s, %3$s %2$s, %3$s %4$s, %1$s %4$s, %1$s %2$s))", (F.col("x") - 0.25).cast("string"), (F.col("y") - 0.25).cast("string"), (F.col("x") + 0.25).cast("string"), (F.col("y") + 0.25).cast("string")).alias("g"))
     dots = p.select("vec_id", F.format_string("POINT(%s %s)", F.col("x").cast("string"), F.col("y").cast("string")).alias("h"))
-    return geo.spatial_join(squares, dots, "g", "h", "sfContains", 0.5).select("square", "vec_id")
+    return geo.spatial_join(squares, dots, "g", "h", relation, 0.5).select("square", "vec_id")
 
 
 def geo_join_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The squares of every tenth row only, as its SQL has it; geo_join_all takes all."""
-    p = points(spark, sf)
-    return in_squares(p.where("vec_id % 10 = 0"), p)
-
-
-def geo_join_all(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     return in_squares(p, p)
 
@@ -200,8 +194,7 @@ OPERATIONS: dict[str, tuple[Q, str]] = {
     "text_filter_exact": (text_filter, f"select {D} as d from documents where contains(lower(text), 'icens')"),
     "geo_distance": (geo_distance, f"select vec_id, round(sqrt(x * x + y * y), 9) as d from {POINTS}"),
     "geo_within_box": (geo_within_box, f"select vec_id from {POINTS} where x between -1 and 1 and y between -1 and 1"),
-    "geo_join_grid": (geo_join_grid, f"select a.vec_id as square, b.vec_id from {POINTS} a, {POINTS} b where a.vec_id % 10 = 0 and abs(b.x - a.x) < 0.25 and abs(b.y - a.y) < 0.25"),
-    "geo_join_all": (geo_join_all, ""),
+    "geo_join_grid": (geo_join_grid, f"select a.vec_id as square, b.vec_id from {POINTS} a, {POINTS} b where abs(b.x - a.x) < 0.25 and abs(b.y - a.y) < 0.25"),
     "spatial_knn": (spatial_knn, f"select vec_id from {POINTS} order by sqrt(x * x + y * y), vec_id, x, y limit 10"),
     "fingerprint": (fingerprint, ""),
 }

@@ -65,7 +65,7 @@ def test_registered_join_takes_the_squares_of_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     at = [(i, v[0] * 10, v[1] * 10) for i, v in rows]
     want = sorted((i, j) for i, x, y in at for j, u, v in at if abs(x - u) < 0.25 and abs(y - v) < 0.25)
-    got = operations.queries()["geo_join_all"](spark, str(tmp_path)).collect()
+    got = operations.queries()["geo_join_grid"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want and {i for i, _ in want} == set(range(45)) and len(want) > 90
 
 
@@ -77,3 +77,10 @@ def test_registered_statistics_take_all_tables(spark):
     assert stats["triples"] == quads.count() == sum(n for (kind, _), n in uses.items() if kind == "predicate")
     for table, name in (("nation", "Nation"), ("customer", "Customer"), ("documents", "Document"), ("pages", "Page")):
         assert uses["class", f"urn:c:{name}"] == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+def test_relations_of_points_in_the_middle_of_lines_and_faces():
+    square, line = geo.parse_wkt("POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))"), geo.parse_wkt("LINESTRING(0 0, 2 0)")
+    assert geo.relate(square, geo.parse_wkt("POINT(1 1)")) == geo.relate(square, geo.parse_wkt("POINT(1 0.9)")) == "0F2FF1FF2"
+    assert geo.relate(line, geo.parse_wkt("POINT(1 0)")) == geo.relate(line, geo.parse_wkt("POINT(0.7 0)")) == "0F1FF0FF2"
+    assert geo.relate(square, geo.parse_wkt("LINESTRING(0.5 1, 1.5 1)")) == "102FF1FF2"
