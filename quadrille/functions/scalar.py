@@ -13,7 +13,8 @@ from quadrille.terms import (
 )
 
 FLT = lit("float")
-EXACT = "decimal(28,10)"
+#: Decimals as they are compared and added, and as they are multiplied and divided (so that the result keeps its places).
+WIDE, EXACT = "decimal(38,18)", "decimal(28,10)"
 DTD = lit("dayTimeDuration")
 
 
@@ -50,16 +51,16 @@ def as_double(v: Value) -> Column:
 
 def as_exact(v: Value) -> Column:
     if v.numeric and v.type.dt not in (XSD + "double", XSD + "float"):
-        return v.col.cast(EXACT)
+        return v.col.try_cast(WIDE)
     t = as_term(v)
-    return F.when(rank(t) <= 2, t["v"].try_cast(EXACT))
+    return F.when(rank(t) <= 2, t["v"].try_cast(WIDE))
 
 
 def number_term(r: Column, exact: Column, double: Column) -> Value:
     """A number whose datatype is known by row only."""
     lex = F.when(r == 1, exact.try_cast("bigint").cast("string")).when(r == 2, lexical(Value(exact, DEC))).otherwise(lexical(Value(double, DBL)))
     dt = F.when(r == 1, XSD + "integer").when(r == 2, XSD + "decimal").when(r == 3, XSD + "float").otherwise(XSD + "double")
-    return Value(F.when(r.isNotNull(), struct(LITERAL, lex, dt)), TERM)
+    return Value(F.when(r.isNotNull() & lex.isNotNull(), struct(LITERAL, lex, dt)), TERM)
 
 
 TRY = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}
@@ -75,13 +76,14 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
         if XSD + "decimal" in dts or op == "/":
             own = lambda v: v.col if v.type.dt == XSD + "decimal" else v.col.cast("decimal(19,0)")
             if op == "/":
-                return Value(F.try_divide(a.col.cast(EXACT), b.col.cast(EXACT)), DEC)
+                return Value(F.try_divide(a.col.try_cast(EXACT), b.col.try_cast(EXACT)), DEC)
             return Value(TRY[op](own(a), own(b)), DEC)
         return Value(TRY[op](a.col.cast("bigint"), b.col.cast("bigint")), INT)
     s, t = as_term(a), as_term(b)
     r = F.when(rank(s).isNotNull() & rank(t).isNotNull(), F.greatest(rank(s), rank(t), F.lit(2 if op == "/" else 1)))
     double = arithmetic(op, Value(as_double(a), DBL), Value(as_double(b), DBL)).col
-    return number_term(r, TRY[op](as_exact(a), as_exact(b)).cast(EXACT), double)
+    kind = EXACT if op in "*/" else WIDE
+    return number_term(r, TRY[op](as_exact(a).try_cast(kind), as_exact(b).try_cast(kind)).try_cast(kind), double)
 
 
 def unary_number(v: Value, whole: Callable[[Column], Column], double: Callable[[Column], Column]) -> Value:
@@ -90,7 +92,7 @@ def unary_number(v: Value, whole: Callable[[Column], Column], double: Callable[[
         if v.type.dt in INTEGERS:
             return Value(whole(v.col).cast("bigint"), INT)
         return Value(double(v.col), v.type)
-    return number_term(rank(as_term(v)), double(as_exact(v)).cast(EXACT), double(as_double(v)).cast("double"))
+    return number_term(rank(as_term(v)), double(as_exact(v)).try_cast(WIDE), double(as_double(v)).cast("double"))
 
 
 def half_up(c: Column) -> Column:
@@ -415,7 +417,7 @@ def cast_to(dt: str) -> Callable[[Value], Value]:
             if dt in INTEGERS:
                 return Value((F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)) if v.numeric and own.dt not in INTEGERS else c).try_cast("bigint"), lit(dt))
             if dt == XSD + "decimal":
-                return Value(c.try_cast(EXACT), DEC)
+                return Value(c.try_cast(WIDE), DEC)
             if dt in (XSD + "double", XSD + "float"):
                 return Value(c.cast("double"), lit(dt))
             if dt == XSD + "boolean":

@@ -686,28 +686,28 @@ def aggregates(e: object) -> list[Call]:
 
 
 def aggregate(v: Value | None, call: Call) -> tuple[Column, Type]:
-    """The aggregate's column over a group and its type. A value that is no number makes SUM and AVG unbound."""
+    """The aggregate's column over a group and its type. A value that is no number, or a result too large, makes SUM and AVG unbound."""
     name = call.name
     if name == "COUNT":
         if v is None:
             return F.count(F.lit(1)), INT
         return (F.countDistinct(v.col) if call.distinct else F.count(v.col)), INT
-    d = F.sum_distinct if call.distinct else F.sum
+    d = F.sum_distinct if call.distinct else F.try_sum
     if name in ("SUM", "AVG"):
         if v.numeric:
             if name == "SUM":
                 zero = F.lit(0).cast("bigint") if v.type.dt in INTEGERS else F.lit(0) if v.type == DEC else F.lit(0.0)
-                return F.coalesce(d(v.col), zero), INT if v.type.dt in INTEGERS else v.type
+                return F.when(F.count(v.col) > 0, d(v.col)).otherwise(zero), INT if v.type.dt in INTEGERS else v.type
             n = F.countDistinct(v.col) if call.distinct else F.count(v.col)
             if v.type.dt in (XSD + "double", XSD + "float"):
                 return F.coalesce(F.try_divide(d(v.col), n), F.lit(0.0)), DBL
-            return F.coalesce(F.try_divide(d(v.col).cast(fn.EXACT), n.cast("decimal(19,0)")).cast(fn.EXACT), F.lit(0).cast(fn.EXACT)), DEC
+            return F.coalesce(F.try_divide(d(v.col).try_cast(fn.EXACT), n.cast("decimal(19,0)")).try_cast(fn.EXACT), F.lit(0).cast(fn.EXACT)), DEC
         t = as_term(v)
         r = F.max(fn.rank(t))
-        bad = F.count_if(t.isNotNull() & fn.rank(t).isNull()) > 0
-        exact, double, n = d(fn.as_exact(v)).cast(fn.EXACT), d(fn.as_double(v)), F.count(t)
+        bad = F.count_if(t.isNotNull() & (fn.rank(t).isNull() | ((fn.rank(t) <= 2) & fn.as_exact(v).isNull()))) > 0
+        exact, double, n = d(fn.as_exact(v)), d(fn.as_double(v)), F.count(t)
         if name == "AVG":
-            exact, double, r = F.try_divide(exact, n.cast("decimal(19,0)")).cast(fn.EXACT), F.try_divide(double, n), F.greatest(r, F.lit(2))
+            exact, double, r = F.try_divide(exact.try_cast(fn.EXACT), n.cast("decimal(19,0)")).try_cast(fn.EXACT), F.try_divide(double, n), F.greatest(r, F.lit(2))
         none = struct(LITERAL, F.lit("0"), XSD + "integer")
         return F.when(bad, F.lit(None)).when(n == 0, none).otherwise(fn.number_term(r, exact, double).col), TERM
     if name in ("MIN", "MAX"):

@@ -139,7 +139,7 @@ def parse_native(lex: Column, dt: str) -> Column:
     if dt in INTEGERS:
         return F.when(lex.rlike(r"^\s*[+-]?\d+\s*$"), lex.try_cast("bigint"))
     if dt == XSD + "decimal":
-        return lex.try_cast("decimal(28,10)")
+        return lex.try_cast("decimal(38,18)")
     if dt in (XSD + "double", XSD + "float"):
         return F.when(lex == "INF", F.lit(float("inf"))).when(lex == "-INF", F.lit(float("-inf"))).otherwise(lex.try_cast("double"))
     if dt == XSD + "boolean":

@@ -131,3 +131,16 @@ def test_aggregates_of_nothing(spark):
     row = compiler.query(QuadTable.empty(spark), "SELECT (COUNT(*) AS ?n) (SUM(?v) AS ?s) (MIN(?v) AS ?m) { ?s <urn:x:v> ?v }").first()
     assert row["n"] == 0 and row["s"]["v"] == "0" and row["m"] is None
     assert canonical is not None
+
+
+def test_fine_and_large_decimals(spark):
+    from quadrille.plans.compiler import query
+    from quadrille.sources.rdf import from_text
+
+    d = from_text(spark, "@prefix : <urn:> . :a :n 0.00000000001 . :b :n 0.00000000002 . :c :w 123456789012345678901.5 , 0.5 .")
+    P = "PREFIX : <urn:> "
+    assert query(d, P + "ASK { :a :n ?x . :b :n ?y FILTER(?x = ?y) }").first()[0] is False
+    assert query(d, P + "ASK { :a :n ?x . :b :n ?y FILTER(?x < ?y) }").first()[0] is True
+    one = lambda text: query(d, P + text).first()[0]
+    assert one("SELECT (STR(SUM(?x)) AS ?s) { ?k :n ?x }") == "0.00000000003"
+    assert one("SELECT (SUM(?x) AS ?s) { ?k :w ?x }") is None
