@@ -11,7 +11,7 @@ from quadrille.operators.storage import fresh_path
 from quadrille.operators.update import batch
 from quadrille.plans.compiler import query
 from quadrille.plans.operations import LABELS, POINTS, TYPE, D, P, Q, flat, in_squares, inferred, points, quads, shapes, updated, with_ontology
-from quadrille.sources import rdf
+from quadrille.sources import rdf, writers
 from quadrille.sources.dataset import QuadTable
 from quadrille.sources.tables import dataset
 
@@ -34,6 +34,23 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return flat(rdf.read_lines(spark, path).quads)
 
 
+def rewritten(kind: str) -> Q:
+    """Labels written in a format and read again."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = fresh_path(spark, "document")
+        writers.rdf(quads(spark, sf, "labels").quads, kind, {"v": "urn:v:"}).write(path)
+        return flat(rdf.read_files(spark, path, kind).quads)
+
+    return run
+
+
+def results(kind: str) -> Q:
+    """The lines of a result's document."""
+    text = P + "SELECT ?x ?n ?r { ?x a c:Nation ; v:name ?n ; v:region ?r }"
+    return lambda spark, sf: writers.results(writers.solutions(dataset(spark, sf, only=("nation",)), text), kind).lines
+
+
 def batched(spark: SparkSession, sf: str) -> DataFrame:
     done, _ = batch(quads(spark, sf, "labels"), [P + "DELETE WHERE { ?d v:toxic ?t }", P + "INSERT { ?d v:seen true } WHERE { ?d v:quality 1 }"])
     return flat(done.quads)
@@ -88,6 +105,14 @@ FURTHER: dict[str, tuple[Q, str]] = {
     "update_batch": (batched, f"select * from ({LABELS}) where p <> 'urn:v:toxic' union all select {D}, 'urn:v:seen', 'true' from labels where quality = 1"),
     "snapshot": (snapshot, f"select unnest(['urn:g:now', 'urn:g:then']) as g, * from ({LABELS})"),
     "nquads_round_trip": (round_trip, LABELS),
+    "turtle_round_trip": (rewritten("turtle"), LABELS),
+    "trig_round_trip": (rewritten("trig"), LABELS),
+    "rdf_xml_round_trip": (rewritten("xml"), LABELS),
+    "json_ld_round_trip": (rewritten("json-ld"), LABELS),
+    "results_json": (results("json"), f"""select '{{"x":{{"type":"uri","value":"' || {N} || '"}},"n":{{"type":"literal","value":"' || n_name || '"}},"r":{{"type":"uri","value":"urn:d:region/' || n_regionkey || '"}}}}' as value from nation"""),
+    "results_xml": (results("xml"), f"""select '<result><binding name="x"><uri>' || {N} || '</uri></binding><binding name="n"><literal>' || n_name || '</literal></binding><binding name="r"><uri>urn:d:region/' || n_regionkey || '</uri></binding></result>' as value from nation"""),
+    "results_csv": (results("csv"), f"select {N} || ',' || n_name || ',urn:d:region/' || n_regionkey as value from nation"),
+    "results_tsv": (results("tsv"), f"""select '<' || {N} || '>' || chr(9) || '"' || n_name || '"' || chr(9) || '<urn:d:region/' || n_regionkey || '>' as value from nation"""),
     "rdfs_subproperty": (inferred(("labels",), "rdfs", "v:toxic rdfs:subPropertyOf v:judged .", "urn:v:judged"), f"select {D} as s, 'urn:v:judged' as p, toxic::varchar as o from labels"),
     "rl_same_as": (inferred(("nation",), "owl2-rl", "<urn:d:nation/3> owl:sameAs <urn:x> .", "urn:v:name"), "select 'urn:x' as s, 'urn:v:name' as p, n_name as o from nation where n_nationkey = 3"),
     "rl_has_value": (inferred(("labels",), "owl2-rl", "c:Bad owl:onProperty v:toxic ; owl:hasValue 1 .", TYPE), f"select {D} as s, '{TYPE}' as p, 'urn:c:Bad' as o from labels where toxic = 1"),

@@ -19,7 +19,7 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", ["from_named_graph", "optional_then_join", "quoted_triple", "update_insert_data", "graph_clear", "nquads_round_trip", "shacl_length", "shacl_sparql", "geo_eh_contains"])
+@pytest.mark.parametrize("name", ["from_named_graph", "optional_then_join", "quoted_triple", "update_insert_data", "graph_clear", "nquads_round_trip", "turtle_round_trip", "trig_round_trip", "rdf_xml_round_trip", "json_ld_round_trip", "results_json", "results_xml", "results_csv", "results_tsv", "shacl_length", "shacl_sparql", "geo_eh_contains"])
 def test_against_sql(spark, tables, name):
     make, sql = further.FURTHER[name]
     got, want = make(spark, SF), tables.sql(sql)
