@@ -15,7 +15,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -61,6 +60,7 @@ class SpeculativeBPE:
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.words: dict[str, np.ndarray] = {}
+        self.known_made: dict[int, bool] = {}
         #: Pairs that were put to the merge rules, as left * 2**32 + right, sorted; and whether they stay apart.
         self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
         self.counts = {"words": 0, "failed": 0}
@@ -138,9 +138,10 @@ class SpeculativeBPE:
         for w, c in zip(words, cuts, strict=True):
             self.words[w] = np.array(c, "<u4").tobytes()
 
-    @lru_cache(maxsize=None)  # noqa: B019  one object a worker
     def made(self, i: int) -> bool:
-        return self.merged(self.bytes[i]) == [i]
+        if i not in self.known_made:
+            self.known_made[i] = self.merged(self.bytes[i]) == [i]
+        return self.known_made[i]
 
     def pieces(self, text: str) -> list[str | int]:
         """Words of a text, and the ids of special tokens between them."""
@@ -170,11 +171,6 @@ class SpeculativeBPE:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> SpeculativeBPE:
-    return SpeculativeBPE(path)
-
-
 def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Spans of a batch with about so many characters each, one text at least."""
     start = size = 0
@@ -191,7 +187,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """[id, ids binary, decoded string] of every row; with full=False their digests instead: [id, n_tokens, ids_sha256, decoded_sha256]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = SpeculativeBPE(path)  # for this task only: a worker that goes on to other stages keeps nothing of it
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             texts = texts_of(batch)
