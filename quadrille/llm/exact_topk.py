@@ -10,13 +10,16 @@ k rows a query, and a ranking by query merges them.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; only
 vectors of equal length are compared; a query meets every row but those of its own id; ties go to the
-smaller id; rows that repeat an id are each ranked; with fewer candidates than k all are returned.
-Components must be below 2**40 in size, so that scores are exact in 64 bits; others raise an error.
+smaller id; rows that repeat an id are each ranked, as candidates and as queries (each query row has its own
+ranks from 1); with fewer candidates than k all are returned. Vectors too large for bounds in doubles (greatest
+component times the root of the length at least 2**26, as integers) are scored one by one in whole numbers
+without bound, which is slow but exact. Integers that 64 bits can't hold raise an error: of a component, and of
+a score among the k best of a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +41,35 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
+def wide(x: np.ndarray) -> np.ndarray:
+    """Whether each vector is too large for bounds in doubles; the product of any two that are not stays below 2**52."""
+    return np.abs(x.astype(np.float64)).max(1) * np.sqrt(x.shape[1]) >= 2**26
+
+
+def search_wide(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search_batch, by whole numbers without bound: for the few vectors whose scores doubles can't bound."""
+    ends = np.iinfo(np.int64)
+    if any(((v == ends.max) | (v == ends.min)).any() for v in (x, q)):
+        raise ValueError("a component does not fit 64 bits")
+    out: list[tuple[int, int, int]] = []
+    rows = [list(map(int, r)) for r in x]
+    for j, one in enumerate(q):
+        own = list(map(int, one))
+        scored = sorted((-sum(a * b for a, b in zip(own, r, strict=True)), int(ids[i]), i) for i, r in enumerate(rows) if ids[i] != q_ids[j])[:k]
+        if any(not -(2**63) <= -s < 2**63 for s, _, _ in scored):
+            raise ValueError("a score among the results does not fit 64 bits")
+        out += [(j, i, -s) for s, _, i in scored]
+    table = np.array(out, np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
 def search_batch(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query index, row index, score) of each query's k best rows of one batch, all of one length; and how many exact vectors were read."""
     low, high = x.min(0), x.max(0)
     width = np.maximum((high - low) >> CELL_BITS, 0) + 1
     cells = ((x - low) // width).astype(np.uint8)
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    floor = (cells * width + low).astype(np.float64) @ q.T.astype(np.float64)  # whole numbers; below 2**53 they are exact
-    if np.abs(floor).max(initial=0) >= 2**52 or np.abs(q).max(initial=0) >= 2**40 or max(abs(int(low.min())), abs(int(high.max()))) >= 2**40:
-        raise ValueError("components too large for exact scores")
+    floor = (cells * width + low).astype(np.float64) @ q.T.astype(np.float64)  # whole numbers below 2**53, so exact
     upper, lower = floor + (plus @ (width - 1)), floor + (minus @ (width - 1))
     own = ids[:, None] == q_ids[None, :]
     upper[own], lower[own] = -np.inf, -np.inf
@@ -78,6 +101,14 @@ def search_batch(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     return cat(out_q), cat(out_r), cat(out_s), read
 
 
+def ways(x: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, Callable]]:
+    """(rows, queries, search) that together meet every row with every query once."""
+    big, big_q = wide(x), wide(q)
+    every, rows, rest = np.arange(len(q)), np.flatnonzero(~big), np.flatnonzero(big)
+    found = [(rows, np.flatnonzero(~big_q), search_batch), (rows, np.flatnonzero(big_q), search_wide), (rest, every, search_wide)]
+    return [w for w in found if len(w[0]) and len(w[1])]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """[query_id, rank, id, score]: the k rows of vectors with the greatest inner product with each row of queries."""
     spark = vectors.sparkSession
@@ -88,10 +119,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     found = None
     for b in range(n_blocks):
         sent = asked.where(F.col("block") == b).select("id", "v").collect()  # BLOCK_BYTES of vectors, as the block is bounded
-        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for d in {len(r["v"]) for r in sent}:
             same = [r for r in sent if len(r["v"]) == d]
-            by_length[d] = np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], np.int64)
+            keys = np.array([b << 32 | i for i, r in enumerate(sent) if len(r["v"]) == d], np.int64)  # a query row's own key: ids may repeat
+            by_length[d] = keys, np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], np.int64)
         block = spark.sparkContext.broadcast(by_length)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -102,14 +134,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 for d in np.unique(lengths):
                     if int(d) not in block.value:
                         continue
-                    q_ids, q = block.value[int(d)]
+                    keys, q_ids, q = block.value[int(d)]
                     at = np.flatnonzero(lengths == d)
-                    x = flat[starts[at][:, None] + np.arange(d)]
-                    for lo in range(0, len(q), 512):
-                        qi, ri, s, _ = search_batch(ids[at], x, q_ids[lo : lo + 512], q[lo : lo + 512], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo : lo + 512][qi]), pa.array(ids[at][ri]), pa.array(s)], names=["query_id", "id", "score"])
-
-        part = map_batches(rows, run, "query_id bigint, id bigint, score bigint")
+                    x, own = flat[starts[at][:, None] + np.arange(d)], ids[at]
+                    for rs, qs, search in ways(x, q):
+                        for lo in range(0, len(qs), 512):
+                            js = qs[lo : lo + 512]
+                            qi, ri, s, *_ = search(own[rs], x[rs], q_ids[js], q[js], k)
+                            yield pa.RecordBatch.from_arrays([pa.array(keys[js][qi]), pa.array(q_ids[js][qi]), pa.array(own[rs][ri]), pa.array(s)], names=["key", "query_id", "id", "score"])
+
+        part = map_batches(rows, run, "key bigint, query_id bigint, id bigint, score bigint")
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

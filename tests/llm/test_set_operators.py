@@ -242,6 +242,20 @@ def test_top_k(spark):
     assert exact_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_large_and_repeated(spark):
+    """Components whose scores pass doubles, and two query rows of one id, against brute force."""
+    rows = [(1, [1e12, -3.0]), (2, [5e7, 7e7 + 1 / 1024]), (3, [-2.5, 0.001]), (4, [1e-3, 4.0]), (100, [0.002, 1.0]), (100, [3.0, -2e3]), (200, [2.0, 2.0**16])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for i, v in ints:
+        if i % 100 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ints if j != i)[:3]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    assert max(abs(w[3]) for w in want) > 2**53
+    assert sorted(map(tuple, exact_topk.top_k(df, df.where("vec_id % 100 = 0"), k=3).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["op4_url_filters", "op5_exact_dedup", "op7_mixing", "op8_ngram_join", "op10_exact_topk"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
