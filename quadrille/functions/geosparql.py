@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from quadrille.functions.scalar import REGISTRY, boolean
 from quadrille.operators import geo, geo3d
 from quadrille.terms import BOOL, DBL, GEO, GEOF, IRI_T, Type, Value, lexical
 
 WKT = Type("lit", GEO + "wktLiteral")
+UOM = "http://www.opengis.net/def/uom/OGC/1.0/"
+#: Metres of each unit of length.
+METRES = {"metre": 1.0, "kilometre": 1000.0, "centimetre": 0.01, "millimetre": 0.001}
 
 
 def predicate(name: str):  # noqa: ANN201
     return lambda a, b: boolean(geo.relation(name, lexical(a), lexical(b)))
 
 
+def in_unit(value: Column, unit: Value | None = None) -> Column:
+    """A planar length in a unit; other units leave it as it is in its reference system."""
+    if unit is None:
+        return value
+    metres = F.lit(1.0)
+    for name, size in METRES.items():
+        metres = F.when(lexical(unit) == UOM + name, size).otherwise(metres)
+    return value / metres
+
+
 def shape(f):  # noqa: ANN001, ANN201
     return lambda *vs: Value(geo.shaped(f, *map(lexical, vs)), WKT)
 
@@ -21,7 +37,7 @@ REGISTRY.update({GEOF + name: predicate(name) for name in geo.RELATIONS})
 REGISTRY.update(
     {
         GEOF + "relate": lambda a, b, p: boolean(geo.column(lambda x, y, q: geo.fits(geo.relate(geo.parse_wkt(x), geo.parse_wkt(y)), q) if geo.parse_wkt(x) and geo.parse_wkt(y) else None, lexical(a), lexical(b), lexical(p), kind="boolean")),
-        GEOF + "distance": lambda a, b, *unit: Value(geo.measured(geo.distance, lexical(a), lexical(b)), DBL),
+        GEOF + "distance": lambda a, b, *unit: Value(in_unit(geo.measured(geo.distance, lexical(a), lexical(b)), *unit), DBL),
         GEOF + "area": lambda a, *unit: Value(geo.measured(geo.area, lexical(a)), DBL),
         GEOF + "convexHull": shape(geo.convex_hull),
         GEOF + "envelope": shape(geo.envelope),

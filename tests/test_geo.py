@@ -46,6 +46,9 @@ def test_functions_in_queries(spark):
     d = from_text(spark, f'@prefix : <urn:> . @prefix geo: <http://www.opengis.net/ont/geosparql#> . :a geo:asWKT "{A}"^^geo:wktLiteral . :b geo:asWKT "{INNER}"^^geo:wktLiteral . :c geo:asWKT "{FAR}"^^geo:wktLiteral .')
     got = query(d, "SELECT (STR(?x) AS ?a) (STR(?y) AS ?b) { ?x geo:asWKT ?g . ?y geo:asWKT ?h FILTER(?x != ?y && geof:sfContains(?g, ?h)) }").collect()
     assert [tuple(r) for r in got] == [("urn:a", "urn:b")]
+    for unit, size in {"": 1, ", <http://www.opengis.net/def/uom/OGC/1.0/kilometre>": 1000, ", <http://www.opengis.net/def/uom/OGC/1.0/millimetre>": 0.001, ", <urn:other>": 1}.items():
+        far = query(d, f"SELECT (geof:distance(?g, ?h{unit}) AS ?r) {{ <urn:a> geo:asWKT ?g . <urn:c> geo:asWKT ?h }}").first()["r"]
+        assert far == pytest.approx(72**0.5 / size)
 
 
 def test_spatial_join_is_the_same_without_a_grid(spark):
