@@ -12,8 +12,10 @@ Frequencies and filters bear on speed alone: they leave out nothing that links,
 Groups of copies never become pairs: equal sets are one class, known by the set's digest. Near copies are
 first gathered: sets stand in small groups by their hub, the set that each shares most postings with, and
 links within a group make components. Members of one component need no comparison among themselves, so
-the second step compares exactly the candidates whose components still differ. All links between
-components are found: the components are exact. Hot postings are compared in blocks, each a key of its own.
+the second step compares exactly the candidates whose components still differ. Hot postings are compared in
+blocks, each a key of its own, and a pair is met under its first common shingle. A block first names the
+likeliest pairs of a set and of two components; where that leaves pairs out, it is done anew with the components
+that these links make, until nothing is left out: all links between components are found, the components are exact.
 
 Defined results: A-Z are lower-cased; with fewer than SHINGLE words the whole sequence is the one shingle;
 null, empty and blank texts have no shingle, link with nothing and are a component of their own id. Rows
@@ -47,6 +49,8 @@ BLOCK_SETS, BLOCK_TOKENS, NOBODY = 60_000, 2_000_000, 65_535
 FEW = 500_000
 #: Sets that one is held against to gather components, sets of a component that go on to the next turn, and turns, at most. All bear on speed only.
 TRIES, PICKED, MOST_TURNS = 48, 16, 6
+#: Pairs of a set, and of two components, that a block names as long as that finds links; first shingles that an entry has with it. Both bear on speed only.
+LIKELIEST, BEFORE = 256, 32
 #: Cells of a set by hash and by level, and the count from which a cell counts as without bound.
 CELLS, LEVELS, FULL = 32, 16, 65_535
 #: An odd factor for each place in a shingle.
@@ -116,12 +120,20 @@ def asked_share(n: float) -> float:
     return min(1.0, 0.25 + n**-0.5)
 
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, h_a: np.ndarray, h_b: np.ndarray) -> np.ndarray:
-    """Whether the cells leave room for the overlap that a link needs: sets share at most the lesser number of each cell, over the hash cells and over the levels."""
+def room(h_a: np.ndarray, h_b: np.ndarray) -> np.ndarray:
+    """The most that sets can share: the lesser number of each cell, over the hash cells and over the levels."""
     least = np.minimum(h_a, h_b).astype(np.int64)
     least[least == FULL] = 1 << 40
-    room = np.minimum(least[:, :CELLS].sum(1), least[:, CELLS:].sum(1))
-    return (100 + PERCENT) * room >= PERCENT * (n_a + n_b)
+    return np.minimum(least[:, :CELLS].sum(1), least[:, CELLS:].sum(1))
+
+
+def firsts(key: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:
+    """Which places have one of the `most` largest shares of their key."""
+    order = np.lexsort((-share, key))
+    cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), np.diff(key[order]) != 0]))
+    out = np.empty(len(key), bool)
+    out[order] = np.arange(len(key)) - np.repeat(cut, np.diff(np.append(cut, len(key)))) < most
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -388,36 +400,74 @@ def gathered(entries: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
-def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """[a, b]: distinct pairs that share a prefix shingle under every order, whose components (labels: [node, component]) differ, and whose cells leave room.
+def postings(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """[token, sid, n, label, cells, before, again]: the sets of each prefix shingle under the first order, with their component (labels: [node, component]) and the first BEFORE of their shingles before this one."""
+    known = index.join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid"))
+    each = known.select(F.posexplode("p0").alias("at", "token"), "sid", "n", "label", "cells", "p0")
+    return written(each.select("token", "sid", "n", "label", "cells", F.slice("p0", F.lit(1), F.least("at", F.lit(BEFORE))).alias("before"), F.lit(True).alias("again")), "entries")
+
 
-    Under the first order each posting is compared in blocks of CHUNK sets by CHUNK, each block a key of its own.
-    The further orders are intersected by the pairs' own prefixes, before any text is read.
+def renewed(entries: DataFrame, labels: DataFrame, left: DataFrame) -> DataFrame:
+    """The postings that hold a set of left ([sid]), with the components as they are now; again marks the sets of left."""
+    left = written(left.distinct(), "left")
+    tokens = written(entries.join(small(left, FEW), "sid", "left_semi").select("token").distinct(), "tokens")
+    own = entries.join(small(tokens, FEW), "token", "left_semi").drop("label", "again")
+    named = own.join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid")).drop("node", "component")
+    marked = named.join(small(left.withColumn("again", F.lit(True)), FEW), "sid", "left")
+    return written(marked.select("token", "sid", "n", "label", "cells", "before", F.coalesce("again", F.lit(False)).alias("again")), "entries")
+
+
+def candidates(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """[a, b]: pairs of a posting whose components differ, one set at least marked again, and whose cells leave room.
+
+    Each posting is compared in blocks of CHUNK sets by CHUNK, each block a key of its own. A pair is met in one
+    posting only, as long as its first common shingle is one of the first BEFORE of a set, else in several.
+    most: likeliest pairs of a set and of two components for each 256 sets of a block; sets that have more are
+    given as a = b. None: all.
     """
-    known = index.join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid"))
-    entries = written(known.select(F.explode("p0").alias("token"), "sid", "n", "label", "cells"), "entries")
     sizes = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).where("lo <> hi").select("token", "k")
     mine = entries.join(sizes, "token").withColumn("x", F.pmod(F.xxhash64("sid"), "k").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    blocks = mine.select("token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "sid", "n", "label", "cells")
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = mine.select("token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "sid", "n", "label", "cells", "before", "again")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def compared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         (_, i, j), chunk = rows[0][:3], np.array([r[3] for r in rows])
         sid, n, label = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6))
         cells = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), -1)
+        again, width = np.array([r[9] for r in rows]), max(len(r[8]) for r in rows)
+        before = np.array([r[8] + [-1] * (width - len(r[8])) for r in rows], np.int64).reshape(len(rows), width)
+
+        def fitting(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            share = room(cells[p], cells[q]) / (n[p] + n[q])
+            fit = (100 + PERCENT) * share >= PERCENT - 1e-6
+            p, q, share = p[fit], q[fit], share[fit]
+            met = [np.empty(0, bool)]
+            for at in range(0, len(p), 2_000):
+                own, other = before[p[at : at + 2_000], :, None], before[q[at : at + 2_000], None, :]
+                met.append(((own == other) & (own >= 0)).any((1, 2)))
+            new = ~np.concatenate(met)
+            return p[new], q[new], share[new]
+
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         for lo in range(0, len(left), 256):
             part = left[lo : lo + 256]
-            p, q = np.nonzero((label[part][:, None] != label[right]) & ((part[:, None] < right) if i == j else True))
+            p, q = np.nonzero((label[part][:, None] != label[right]) & (again[part][:, None] | again[right]) & ((part[:, None] < right) if i == j else True))
             p, q = part[p], right[q]
             fit = 100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q])
             p, q = p[fit], q[fit]
-            for at in range(0, len(p), 50_000):
-                a, b = p[at : at + 50_000], q[at : at + 50_000]
-                fit = may_link(n[a], n[b], cells[a], cells[b])
-                a, b = sid[a[fit]], sid[b[fit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found = [fitting(p[at : at + 50_000], q[at : at + 50_000]) for at in range(0, len(p), 50_000)]
+            if not sum(len(x) for x, _, _ in found):
+                continue
+            p, q, share = map(np.concatenate, zip(*found, strict=True))
+            more = p[:0]
+            if most is not None and len(p) > most:
+                name = np.unique(label, return_inverse=True)[1]
+                likely = firsts(p, share, most)
+                likely[likely] = firsts((np.minimum(name[p], name[q]) * len(rows) + np.maximum(name[p], name[q]))[likely], share[likely], most)
+                p, q, more = p[likely], q[likely], np.unique(p[~likely])
+            a, b = sid[np.append(p, more)], sid[np.append(q, more)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # of one block, twice CHUNK or so
@@ -430,8 +480,13 @@ def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
         if rows:
             yield from compared(rows)
 
-    pairs = map_batches(blocks, run, "a bigint, b bigint").distinct()
+    return map_batches(blocks, run, "a bigint, b bigint")
+
+
+def under_all(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """[a, b]: the distinct pairs that share a prefix shingle under the further orders as well, by the pairs' own prefixes, before any text is read."""
     further = [f"p{k}" for k in range(1, len(ORDERS))]
+    pairs = pairs.distinct()
     for side in "ab":
         pairs = pairs.join(index.select(F.col("sid").alias(side), *[F.col(p).alias(f"{p}{side}") for p in further]), side)
     for p in further:
@@ -439,6 +494,31 @@ def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
+def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """[a, b]: distinct pairs that share a prefix shingle under every order, whose components (labels: [node, component]) differ, and whose cells leave room."""
+    return under_all(candidates(postings(index, labels)), index)
+
+
+def open_links(index: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """[a, b]: links that together with labels ([node, component]) make the components.
+
+    Two components need one link, so the likeliest pairs are compared first, and again with the components that
+    their links make, for the sets that have more; as soon as a turn finds no link, or after MOST_TURNS, all pairs
+    that are left are compared.
+    """
+    entries, links, turn = postings(index, labels), None, 0
+    while True:
+        met = written(candidates(entries, LIKELIEST if turn < MOST_TURNS else None), "candidates")
+        found = verified(under_all(met.where("a <> b"), index), texts)
+        left = met.where("a = b").select(F.col("a").alias("sid"))
+        if left.isEmpty():
+            return found if links is None else links.unionByName(found)
+        found = written(found, "links")
+        links, turn = found if links is None else links.unionByName(found), MOST_TURNS if found.isEmpty() else turn + 1
+        labels = written(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found)), "labels")
+        entries = renewed(entries, labels, left)
+
+
 def class_texts(slim: DataFrame, wanted: DataFrame, moved: frozenset[int]) -> DataFrame:
     """[sid, n, text] of the classes in wanted ([sid, rep]); an id that is repeated may have other texts as well, which are left out."""
 
@@ -478,7 +558,7 @@ def labelled(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(class_texts(slim, wanted, moved), "texts")
     index = written(prefixes(texts, wanted.count()), "index")
     sure = gathered(index.select(F.explode("p0").alias("token"), "sid"), texts)
-    rest = verified(open_pairs(index, sure), texts)
+    rest = open_links(index, sure, texts)
     labels = connected_components(sure.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
     return sets, classes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
 

@@ -156,6 +156,31 @@ def test_chunks_of_postings(spark, monkeypatch):
     index.unpersist()
 
 
+def test_large_groups_make_few_pairs(spark, monkeypatch):
+    """The blocks make rows in proportion to a group's members, not to their square, also if nothing is gathered before; the components are exact."""
+    monkeypatch.setattr(ngram_join, "LIKELIEST", 4, raising=False)
+    monkeypatch.setattr(ngram_join, "gathered", lambda entries, texts: spark.createDataFrame([], "node long, component long"))
+    real, made = ngram_join.map_batches, []
+
+    def counted(df, fn, schema):
+        out = real(df, fn, schema)
+        if "token" in df.columns:
+            out = out.cache()
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "map_batches", counted)
+    rnd, words, rows = random.Random(7), [f"w{i}" for i in range(100)], []
+    for k in range(150):
+        copy = list(words)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            copy[rnd.randrange(100)] = f"e{k}x{rnd.randrange(100)}"
+        rows.append((k, " ".join(copy), "s"))
+    rows += [(1000 + k, t, s) for k, t, s in near_copies(6, 20)]
+    assert sorted(map(tuple, ngram_join.components(frame(spark, rows)).collect())) == brute_components(rows)
+    assert 150 <= sum(made) < 20 * 150
+
+
 def test_sets_without_a_link_leave_early(spark):
     """No set with a link is left out by the sample of shingles, and most others are."""
     rows = near_copies(5, 60)
