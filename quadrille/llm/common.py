@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +43,14 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; allocators would keep it for as long as the driver lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of a column's decimal text modulo n: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import bpe, exact_dedup, exact_topk, language_id, license_scan, mixing, ngram_join, token_counts, toxicity, url_filters
-from quadrille.llm.common import remainder, table
+from quadrille.llm.common import give_back, remainder, table
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
@@ -36,7 +36,9 @@ def toxicity_index(spark: SparkSession, sf_dir: str) -> Broadcast:
     """The index of the labelled rows that are not held out, for the executors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder("doc_id", 3) != 1)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
-    return spark.sparkContext.broadcast(toxicity.fit(docs, labels))
+    sent = spark.sparkContext.broadcast(toxicity.fit(docs, labels))
+    give_back()
+    return sent
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

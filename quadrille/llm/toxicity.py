@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quadrille.llm.common import map_batches, texts_of, written
+from quadrille.llm.common import give_back, map_batches, texts_of, written
 
 #: Labelled examples that are kept, at most: the bound of the fitting sample (chosen by hash).
 EXAMPLES = 8192
@@ -277,6 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.empty(0, np.int64)
     index = BlockMaxIndex(vocabulary, met, got["label"].to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), flat("terms"), flat("counts"))
+    del df, lists
+    give_back()
     if not len(index.labels):
         return index
     sent = sc.broadcast(index)
