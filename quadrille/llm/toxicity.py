@@ -6,8 +6,9 @@ maximum). Postings of frequent terms, which nearly every block has, are dense co
 multiplies them at once. Postings of terms that are in few examples are short: they are added in full
 before anything is bounded. A text's other terms and the block maxima bound its cosine with every example of a
 block; the blocks of the greatest bounds are scored exactly, and then those that can still hold one of the
-K nearest. Terms are known by 64-bit hashes. The K nearest vote, weighted by 1 / distance; the share of toxic votes is turned into a probability by an isotonic fit on the
-examples themselves, each left out of its own vote. The neighbours are the evidence.
+k nearest. Terms are known by 64-bit hashes. The k nearest vote, weighted by 1 / distance; the share of toxic votes is turned into a probability by an isotonic fit on the
+examples themselves, each left out of its own vote. k is that of NEIGHBOURS whose probabilities explain the examples' labels best (least log
+loss): where texts of a kind are many, the nearest are alike by kind, and only more of them tell by what is toxic. The neighbours are the evidence.
 
 Defined results: null and empty texts, and texts without a known term, get the examples' rate of label 1;
 with no examples at all the score is 0. Rows of the labels without a label are not learned from; if an id
@@ -33,7 +34,9 @@ from quadrille.llm.common import give_back, map_batches, texts_of, written
 EXAMPLES = 8192
 #: Examples in a block of the index.
 BLOCK = 64
+#: Neighbours that vote before an index is fitted; and the numbers of them that fitting chooses from.
 K = 31
+NEIGHBOURS = (K, 63, 127, 255, 511)
 #: Terms of more than this share of the examples have dense postings.
 DENSE_SHARE = 1 / 10
 #: Texts that are scored at once.
@@ -100,6 +103,7 @@ class BlockMaxIndex:
         self.maxima = maxima.reshape(len(between), self.n_blocks)
         self.rate = float(self.labels.mean()) if n else 0.0
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
+        self.k = K
 
     @staticmethod
     def of(examples: list[tuple[dict[str, int], int]]) -> BlockMaxIndex:
@@ -214,31 +218,40 @@ class BlockMaxIndex:
         some = np.flatnonzero(score >= least)
         return some[np.argsort(-score[some], kind="stable")[:k]]
 
-    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[float | None]:
-        """Each vector's share of toxic votes; None without a neighbour."""
-        out: list[float | None] = []
-        for near, cosine in self.nearest(vectors, k, without):
-            w = 1 / np.maximum(1 - cosine, 1e-3)
-            out.append(float(w @ self.labels[near] / w.sum()) if len(near) else None)
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], ks: tuple[int, ...] = (K,), without: list[int] | None = None) -> list[list[float] | None]:
+        """Each vector's share of toxic votes among its k nearest, for each k; None without a neighbour."""
+        out: list[list[float] | None] = []
+        for near, cosine in self.nearest(vectors, max(ks), without):
+            w = 1 / np.maximum(1 - cosine.astype(np.float64), 1e-3)
+            last = np.minimum(ks, len(near)) - 1
+            out.append((np.cumsum(w * self.labels[near])[last] / np.cumsum(w)[last]).tolist() if len(near) else None)
         return out
 
-    def calibrate(self, votes: list[float], labels: list[float]) -> None:
-        """Isotonic regression of the labels on the votes (pooled adjacent violators)."""
-        order = np.argsort(votes, kind="stable")
+    def isotonic(self, votes: np.ndarray, labels: np.ndarray) -> tuple[list[float], list[float]]:
+        """Isotonic regression of the labels on the votes (pooled adjacent violators); equal votes are in one pool."""
         pools: list[list[float]] = []  # sum of labels, number, sum of votes
-        for i in order:
+        for i in np.lexsort((-labels, votes)):
             pools.append([labels[i], 1, votes[i]])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        if pools:
-            self.curve = [p[2] / p[1] for p in pools], [(p[0] + 0.5 * self.rate) / (p[1] + 0.5) for p in pools]
-
-    def scores(self, texts: list[str], k: int = K) -> list[float]:
+        return [p[2] / p[1] for p in pools], [(p[0] + 0.5 * self.rate) / (p[1] + 0.5) for p in pools]
+
+    def calibrate(self, votes: list[list[float]], labels: list[float], ks: tuple[int, ...] = NEIGHBOURS) -> None:
+        """Takes the k, and its curve, of the least log loss over the votes (one for each k), ties to the lesser k."""
+        y, best = np.array(labels, np.float64), np.inf
+        for k, v in zip(ks, np.array(votes, np.float64).T, strict=True) if votes else ():
+            curve = self.isotonic(v, y)
+            p = np.clip(np.interp(v, *curve), 1e-9, 1 - 1e-9)
+            loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+            if loss < best:
+                best, self.k, self.curve = loss, k, curve
+
+    def scores(self, texts: list[str]) -> list[float]:
         if not len(self.labels):
             return [self.rate] * len(texts)
-        shares = self.votes([self.vector(terms(x)) for x in texts], k)
-        return [self.rate if s is None else float(np.interp(s, *self.curve)) for s in shares]
+        shares = self.votes([self.vector(terms(x)) for x in texts], (self.k,))
+        return [self.rate if s is None else float(np.interp(s[0], *self.curve)) for s in shares]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES) -> BlockMaxIndex:
@@ -291,11 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             own_place = place_of[batch.column("place").to_numpy()]
             ats = [t.values.to_numpy().astype(np.int64) for t in batch.column("terms")]
             vectors = [(at, own.weighed(at, c.values.to_numpy())) for at, c in zip(ats, batch.column("counts"), strict=True)]
-            votes = own.votes(vectors, K, own_place.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(votes, pa.float64())], names=["place", "vote"])
+            votes = own.votes(vectors, NEIGHBOURS, own_place.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(votes, pa.list_(pa.float64()))], names=["place", "votes"])
 
     spread = docs.sparkSession.createDataFrame(places).repartition(sc.defaultParallelism * 4)
-    votes = {r["place"]: r["vote"] for r in map_batches(spread, left_out, "place int, vote double").collect()}
+    votes = {r["place"]: r["votes"] for r in map_batches(spread, left_out, "place int, votes array<double>").collect()}
     given = [i for i in sorted(votes) if votes[i] is not None]
     label = got["label"].to_numpy()
     index.calibrate([votes[i] for i in given], [float(label[i]) for i in given])

@@ -124,6 +124,40 @@ def test_toxicity_rows(spark):
     assert {r["score"] for r in toxicity.classify(fresh, nothing).collect()} == {0.0}
 
 
+def kinds(n, seed):
+    """Texts of eight kinds: the nearest are of the same kind, and one in ten of each is toxic."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        kind, toxic = rnd.randrange(8), int(rnd.random() < 0.1)
+        text = rnd.choices([f"k{kind}w{j}" for j in range(60)], k=20) + rnd.sample(["trash", "scum", "idiot", "moron"], 2) * toxic
+        rnd.shuffle(text)
+        out.append((i, " ".join(text), toxic))
+    return out
+
+
+def test_toxic_texts_among_many_of_their_kind(spark):
+    train, fresh = (spark.createDataFrame(kinds(n, seed), "doc_id long, text string, toxic int") for n, seed in ((2000, 1), (500, 2)))
+    index = spark.sparkContext.broadcast(toxicity.fit(train.select("doc_id", "text"), train.select("doc_id", "toxic")))
+    kept = toxicity.keep_clean(fresh, index)
+    toxic = fresh.where("toxic = 1").count()
+    assert kept.where("toxic = 1").count() <= 0.1 * toxic and kept.where("toxic = 0").count() >= 0.98 * (500 - toxic)
+
+
+def test_votes_and_fit():
+    rows = examples(300)
+    index = toxicity.BlockMaxIndex.of([(dict(toxicity.terms(t)), y) for _, t, y in rows])
+    asked = [index.vector(toxicity.terms(t)) for _, t, _ in examples(20, 5)]
+    for v, (near, cosine) in zip(index.votes(asked, (3, 31, 5000)), index.nearest(asked, 5000), strict=True):
+        w = 1 / (1 - cosine)
+        assert np.allclose(v, [w[:k] @ index.labels[near[:k]] / w[:k].sum() for k in (3, 31, 5000)], atol=1e-5)
+    labels = [0.0, 1.0] * 50
+    index.calibrate([[0.5, y] for y in labels], labels, (31, 63))  # only the second tells the labels
+    assert index.k == 63 and np.interp(1, *index.curve) > 0.9 > 0.1 > np.interp(0, *index.curve)
+    index.calibrate([[0.5, 0.5] for _ in labels], labels, (31, 63))
+    assert index.k == 31 and len(index.curve[0]) == 1 and abs(index.curve[1][0] - 0.5) < 0.01
+
+
 def test_language_profiles(spark):
     rows = [("en", "the cat and the dog went with them through this"), ("de", "der Hund und die Katze gingen mit ihnen durch das"), ("fr", "le chat et le chien sont avec eux dans la maison")]
     docs = spark.createDataFrame([(i, rows[i % 3][1] * 3, rows[i % 3][0], "s") for i in range(30)] + [(99, None, "en", "s"), (98, "text", None, "s")], "doc_id long, text string, lang string, lang_pred string")
