@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms of the examples.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms of the examples: whole words, and stems of the longer ones.
 
 Up to EXAMPLES labelled texts are kept as an inverted index: for each term its postings in the order of the
 examples, which stand in blocks of BLOCK, and for each term and block the greatest weight (the block
@@ -38,17 +38,27 @@ BLOCK = 64
 K = 31
 NEIGHBOURS = (K, 63, 127, 255, 511)
 #: Terms of more than this share of the examples have dense postings.
-DENSE_SHARE = 1 / 10
+DENSE_SHARE = 1 / 16
 #: Texts that are scored at once.
-BATCH = 64
+BATCH = 128
 #: Terms of less than this share of the examples have no block maxima: their postings are short and added in full.
-RARE_SHARE = 0.0015
+RARE_SHARE = 1 / 128
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
+#: Letters of a stem.
+STEM = 4
 
 
 def terms(text: str) -> Counter[str]:
-    return Counter(WORD.findall(text.lower()))
+    """Words, and the stems of longer words with a mark: inflected forms of a word meet in its stem."""
+    out = Counter(WORD.findall(text.lower()))
+    stems: dict[str, int] = {}
+    for word, n in out.items():
+        if len(word) > STEM:
+            stem = word[:STEM] + "*"
+            stems[stem] = stems.get(stem, 0) + n
+    dict.update(out, stems)
+    return out
 
 
 def hashed(tf: dict[str, int]) -> np.ndarray:
@@ -62,13 +72,13 @@ class BlockMaxIndex:
         n = len(labels)
         # Examples stand by their weightiest frequent term, so that a block's are alike and its maxima tell; then as they came.
         frequent = df > DENSE_SHARE * n
-        doc = np.repeat(np.arange(n), sizes)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         first = np.full(n, -1, np.int64)
         some = np.flatnonzero(frequent[at])
         some = some[np.lexsort(((1 + np.log(count[some])) * np.log((n + 1) / df[at[some]]), doc[some]))]
         first[doc[some]] = at[some]
         self.order = np.lexsort((np.arange(n), first))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         labels, doc = labels[self.order], place[doc]
         self.vocabulary = vocabulary
@@ -118,10 +128,12 @@ class BlockMaxIndex:
         if not tf or not len(self.vocabulary):
             return np.empty(0, np.int64), np.empty(0, np.float32)
         own = hashed(tf)
+        order = np.argsort(own)  # sorted ones are found faster
+        own = own[order]
         at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == own
         at = at[known]
-        return at, self.weighed(at, np.fromiter(tf.values(), np.int64, len(tf))[known])
+        return at, self.weighed(at, np.fromiter(tf.values(), np.int64, len(tf))[order[known]])
 
     def weighed(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         if not len(at):
@@ -159,19 +171,22 @@ class BlockMaxIndex:
         if without >= 0:
             score[without] = -np.inf
         out = np.full(len(score), -np.inf, np.float32)
+        order = self.left(np.arange(self.n_blocks), bound, score, k)  # weights are not negative: what is added so far is a bound from below
+        if 4 * len(order) > self.n_blocks:  # whole postings are cheaper than many pieces of them
+            self.add_whole(out, score, order, at, w)
+            return out
+        order = order[np.argsort(-bound[order], kind="stable")]
         some = max(-(-4 * k // BLOCK), self.n_blocks // 16)
-        order = np.argpartition(-bound, some) if some < self.n_blocks else np.arange(self.n_blocks)
         self.add(out, score, order[:some], at, w)
-        kth = np.partition(out, len(out) - k)[len(out) - k] if len(out) > k else -np.inf
-        rest = order[some:]
-        rest = rest[bound[rest] * (1 + 1e-5) + 1e-6 >= kth]
-        if 4 * len(rest) > self.n_blocks:  # whole postings are cheaper than many pieces of them
-            out[self.rows(rest)] = -np.inf
-            self.add_whole(out, score, np.concatenate([order[:some], rest]), at, w)
-        else:
-            self.add(out, score, rest, at, w)
+        self.add(out, score, self.left(order[some:], bound, out[self.rows(order[:some])], k), at, w)
         return out
 
+    @staticmethod
+    def left(blocks: np.ndarray, bound: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+        """Blocks that can hold one of the k nearest, as k examples have at least the k-th of `least`."""
+        kth = np.partition(least, len(least) - k)[len(least) - k] if len(least) > k else -np.inf
+        return blocks[bound[blocks] * (1 + 1e-5) + 1e-6 >= kth]
+
     @staticmethod
     def rows(blocks: np.ndarray) -> np.ndarray:
         return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -288,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = map_batches(counted, number, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat = lambda c: got[c].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.empty(0, np.int64)
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy() if got.num_rows else np.empty(0, np.int32)
     index = BlockMaxIndex(vocabulary, met, got["label"].to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), flat("terms"), flat("counts"))
     del df, lists
     give_back()

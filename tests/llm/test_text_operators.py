@@ -144,6 +144,26 @@ def test_toxic_texts_among_many_of_their_kind(spark):
     assert kept.where("toxic = 1").count() <= 0.1 * toxic and kept.where("toxic = 0").count() >= 0.98 * (500 - toxic)
 
 
+def inflected(n, seed):
+    """What is toxic has an ending that hardly ever comes again."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        toxic = int(i % 5 == 0)
+        text = rnd.choices([f"w{j}" for j in range(300)], k=40) + [w + "".join(rnd.choices("aeinrst", k=5)) for w in rnd.sample(["tras", "scum", "idio", "moro"], 3)] * toxic
+        rnd.shuffle(text)
+        out.append((i, " ".join(text), toxic))
+    return out
+
+
+def test_inflected_words_meet_in_their_stems(spark):
+    assert toxicity.terms("Idiotic idiots, idiotic it") == {"idiotic": 2, "idiots": 1, "it": 1, "idio*": 3}
+    train, fresh = (spark.createDataFrame(inflected(n, seed), "doc_id long, text string, toxic int") for n, seed in ((600, 1), (200, 2)))
+    index = spark.sparkContext.broadcast(toxicity.fit(train.select("doc_id", "text"), train.select("doc_id", "toxic")))
+    kept = toxicity.keep_clean(fresh, index)
+    assert kept.where("toxic = 1").count() <= 4 and kept.where("toxic = 0").count() >= 156
+
+
 def test_votes_and_fit():
     rows = examples(300)
     index = toxicity.BlockMaxIndex.of([(dict(toxicity.terms(t)), y) for _, t, y in rows])
