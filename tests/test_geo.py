@@ -87,3 +87,29 @@ def test_relations_of_points_in_the_middle_of_lines_and_faces():
     assert geo.relate(square, geo.parse_wkt("POINT(1 1)")) == geo.relate(square, geo.parse_wkt("POINT(1 0.9)")) == "0F2FF1FF2"
     assert geo.relate(line, geo.parse_wkt("POINT(1 0)")) == geo.relate(line, geo.parse_wkt("POINT(0.7 0)")) == "0F1FF0FF2"
     assert geo.relate(square, geo.parse_wkt("LINESTRING(0.5 1, 1.5 1)")) == "102FF1FF2"
+
+
+def test_join_of_rectangles_and_points_is_that_of_their_segments(spark):
+    """Also within EPS of an edge or a corner, for points in a and for shapes that are no rectangles along the axes."""
+    square = ["POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))", "POLYGON((0 2, 2 2, 2 0, 0 0, 0 2))", "POLYGON((1 0, 2 1, 1 2, 0 1, 1 0))", "LINESTRING(0 0, 2 2)", "POINT(1 1)", HOLE, "MULTIPOINT(1 1, 2 2)"]
+    at = (0.0, 5e-10, 2e-9, 1.0, 2 - 2e-9, 2 - 5e-10, 2.0, 3.0)
+    texts = [*square, *[f"POINT({x!r} {y!r})" for x in at for y in at]]
+    assert {geo.kind_of(geo.parse_wkt(t)) for t in square[:2]} == {"box"} and [geo.kind_of(geo.parse_wkt(t)) for t in square[2:]] == ["other", "other", "point", "other", "other"]
+    a, b = (spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{i} int, {g} string") for i, g in (("i", "g"), ("j", "h")))
+    meet = lambda x, y: all(x[k] <= y[k + 2] and y[k] <= x[k + 2] for k in (0, 1))
+    found = [geo.parse_wkt(t) for t in texts]
+    near = [(i, j, geo.relate(g, h)) for i, g in enumerate(found) for j, h in enumerate(found) if meet(g.bbox(), h.bbox())]
+    for name in ("sfContains", "sfWithin", "sfTouches", "ehContains", "rcc8ntppi", "sfIntersects"):
+        want = sorted((i, j) for i, j, m in near if geo.RELATIONS[name](m, found[i].dimension, found[j].dimension))
+        assert sorted((r["i"], r["j"]) for r in geo.spatial_join(a, b, "g", "h", name, 0.7).select("i", "j").collect()) == want and want
+
+
+def test_rectangles_and_points_are_not_compared_in_python(spark, monkeypatch):
+    """One full cell: its pairs are dealt over tasks, none of them goes through segments."""
+    monkeypatch.setattr(geo, "relation", lambda name, a, b: F.raise_error(F.concat(a, b)).cast("boolean"))
+    rows = spark.range(5000).selectExpr("id", "1 + id / 100000.0D as x")
+    a = rows.selectExpr("id as i", "format_string('POLYGON((%s 0, %s 0, %s 1, %s 1, %s 0))', x - 1, x, x, x - 1, x - 1) as g")
+    b = rows.selectExpr("id as j", "format_string('POINT(%s 0.5)', x - 0.5) as h")
+    joined = geo.spatial_join(a, b, "g", "h", "sfContains", 4.0)
+    assert joined.count() == 5000 * 5000
+    assert max(r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 5000 * 5000
