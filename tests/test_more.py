@@ -1,8 +1,10 @@
 """SWRL, OWL 2 QL, ShEx, browsing, saved queries, streaming ingestion."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.operators import browse, geo, shex, swrl
+from quadrille.plans import catalog, further
 from quadrille.plans.rewrite import query_ql
 from quadrille.sources.rdf import from_text, lines
 from quadrille.streaming.ingest import ingest, read_stream, table
@@ -88,3 +90,16 @@ def test_swrl_does_not_stop_short_in_silence(spark):
     assert added(swrl.infer(d, rules)) == {f"<urn:a> <urn:on> <urn:{x}> ." for x in "bcde"}
     with pytest.raises(RuntimeError, match="after 2 rounds"):
         swrl.infer(d, rules, rounds=2)
+
+
+def most_in_a_task(df):
+    return max(r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+
+
+def test_products_are_dealt_over_tasks(spark, tmp_path):
+    """Neither a product of two large sides nor a value that many rows of both sides have is one task's work."""
+    spark.range(9000).selectExpr("id as p_partkey", "if(id % 2 = 0, 'Brand#11', 'Brand#12') as p_brand", "cast(id % 50 as int) as p_size", "'n' as p_name", "'t' as p_type", "1.0D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = sum(a < b for a in range(0, 50, 2) for b in range(1, 50, 2)) * 180 * 180
+    got = catalog.queries()["theta_join"](spark, str(tmp_path))
+    assert got.count() == want and most_in_a_task(got) < want / 2
+    assert got.distinct().count() == want
