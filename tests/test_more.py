@@ -103,3 +103,13 @@ def test_products_are_dealt_over_tasks(spark, tmp_path):
     got = catalog.queries()["theta_join"](spark, str(tmp_path))
     assert got.count() == want and most_in_a_task(got) < want / 2
     assert got.distinct().count() == want
+
+
+def test_rows_with_one_value_are_dealt_over_tasks(spark, tmp_path):
+    """Of optional_then_join the labels of two values, and documents without a label, meet in many tasks."""
+    spark.range(12000).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "'s' as source", "1 as n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(9000).selectExpr("id * 2 as doc_id", "cast(id % 2 as int) as quality", "0 as toxic").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = further.queries()["optional_then_join"](spark, str(tmp_path))
+    want = 3000 * 4500 + 6000 * 4500  # quality 0, and no label
+    assert got.count() == want and got.where("q <> 0").isEmpty() and most_in_a_task(got) < want / 1.8
+    assert got.groupBy("d").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (4500, 4500, 9000)
