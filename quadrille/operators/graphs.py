@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.scalar import canonical
 from quadrille.operators.storage import written
-from quadrille.sources.dataset import QuadTable
+from quadrille.sources.dataset import RDF_TYPE, ClassMap, MappedTables, QuadTable
 from quadrille.sources.rdf import lines
-from quadrille.terms import BLANK, IRI, OWL, RDF, RDFS, SH, TERM, Value, struct
+from quadrille.terms import BLANK, INT, IRI, IRI_T, OWL, RDF, RDFS, SH, STR, TERM, Type, Value, as_term, lexical, struct
 
 TRIPLE = ["s", "p", "o"]
 
@@ -91,6 +91,68 @@ def usage_counts(triples: DataFrame) -> DataFrame:
     return p.unionByName(c.select(F.lit("class").alias("kind"), "name", "uses"))
 
 
+# --- statistics of mapped tables, from their columns ------------------------------------------------
+
+
+def table_counts(data: MappedTables) -> DataFrame:
+    """[cls, p, n]: triples of each table by predicate, counted in one scan of each table."""
+    parts = []
+    for c in data.classes:
+        there = F.expr(c.key).isNotNull()
+        counted = [(RDF_TYPE, F.count_if(there))] + [(p, F.count_if(there & F.expr(x.column).isNotNull())) for p, x in c.properties.items()]
+        row = c.table().agg(*[n.alias(f"n{j}") for j, (_, n) in enumerate(counted)])
+        pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"n{j}").alias("n")) for j, (p, _) in enumerate(counted)])
+        parts.append(row.select(F.lit(c.cls).alias("cls"), F.explode(pairs).alias("x")).select("cls", "x.p", "x.n").where("n > 0"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def usage_counts_mapped(data: MappedTables) -> DataFrame:
+    """usage_counts of all triples of a mapping."""
+    n = table_counts(data)
+    p = n.groupBy("p").agg(F.sum("n").alias("uses")).select(F.lit("predicate").alias("kind"), F.col("p").alias("name"), "uses")
+    return p.unionByName(n.where(F.col("p") == RDF_TYPE).groupBy(F.col("cls").alias("name")).agg(F.sum("n").alias("uses")).select(F.lit("class").alias("kind"), "name", "uses"))
+
+
+def distinct_terms(columns: list[tuple[DataFrame, Column, Type]]) -> DataFrame:
+    """[n]: how many different terms the columns of tables have. Columns of one type are compared as they are; terms of different types differ, IRIs where no prefix starts another."""
+    prefixes = {t.prefix for _, _, t in columns if t.kind == "iri" and t.prefix}
+    apart = not any(a != b and a.startswith(b) for a in prefixes for b in prefixes)
+    groups: dict[Type, list[DataFrame]] = {}
+    for df, col, t in columns:
+        kind = df.select(col.alias("x")).schema["x"].dataType.simpleString()
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        if t.kind == "iri" and t.prefix and not (apart and whole):
+            col, t = lexical(Value(col, t)), IRI_T
+        elif t.kind == "lit" and t != STR and not (t == INT and whole):
+            if kind not in ("double", "float"):  # of which 0 and -0 are one to distinct
+                df, col = df.select(col.alias("y")).distinct(), F.col("y")
+            col = lexical(Value(col, t))
+        elif whole:
+            col = col.cast("bigint")
+        groups.setdefault(t, []).append(df.select(col.alias("x")).where("x is not null"))
+    if TERM in groups or IRI_T in groups and any(t.prefix for t in groups):  # rare: terms of any kind, or texts of IRIs beside keys
+        groups = {TERM: [df.select(as_term(Value(F.col("x"), t)).alias("x")) for t, dfs in groups.items() for df in dfs]}
+    return reduce(DataFrame.unionByName, [reduce(DataFrame.unionByName, dfs).distinct().agg(F.count("*").alias("n")) for dfs in groups.values()]).agg(F.sum("n").alias("n"))
+
+
+def void_stats_mapped(data: MappedTables) -> DataFrame:
+    """void_stats of all triples of a mapping; every subject has a class there, so entities are subjects."""
+    counts = table_counts(data)
+    typed = F.when(F.col("p") == RDF_TYPE, F.col("cls"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triples"), F.count_distinct("p").alias("predicates"), F.count_distinct(typed).alias("classes"))
+
+    def rows(c: ClassMap) -> DataFrame:
+        return c.table().where(F.expr(c.key).isNotNull())
+
+    subjects = distinct_terms([(rows(c), F.expr(c.key), c.subject) for c in data.classes]).withColumnRenamed("n", "subjects")
+    objects = distinct_terms([(rows(c), F.expr(x.column), x.type) for c in data.classes for x in c.properties.values()]).withColumnRenamed("n", "objects")
+    prefixes = {x.type.prefix for c in data.classes for x in c.properties.values() if x.type.kind == "iri"}
+    if any(p is None or c.cls.startswith(p) for p in prefixes for c in data.classes):  # a class may be an object elsewhere
+        return void_stats(data.quads)
+    out = sums.crossJoin(subjects).crossJoin(objects)
+    return out.select("triples", "subjects", "predicates", (F.col("objects") + F.col("classes")).alias("objects"), "classes", F.col("subjects").alias("entities"))
+
+
 def facets(quads: DataFrame, most: int = 300) -> DataFrame:
     """[facet, value, n]: the most frequent classes, predicates and graphs; ties by value."""
     top = lambda df, name: df.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most).select(F.lit(name).alias("facet"), "value", "n")

@@ -188,8 +188,8 @@ OPERATIONS: dict[str, tuple[Q, str]] = {
     "facets": (lambda spark, sf: graphs.facets(quads(spark, sf, "labels", "nation").quads), f"select 'class' as facet, 'urn:c:Labelled' as value, count(*) as n from labels union all select 'class', 'urn:c:Nation', count(*) from nation union all select 'predicate', p, count(*) from (select unnest(['urn:v:quality', 'urn:v:toxic', '{TYPE}']) as p from labels union all select unnest(['urn:v:name', 'urn:v:region', '{TYPE}']) from nation) group by p"),
     "usage_counts": (lambda spark, sf: graphs.usage_counts(quads(spark, sf, "nation").quads), f"select 'predicate' as kind, p as name, count(*) as uses from (select unnest(['urn:v:name', 'urn:v:region', '{TYPE}']) as p from nation) group by p union all select 'class', 'urn:c:Nation', count(*) from nation"),
     "void_stats": (lambda spark, sf: graphs.void_stats(quads(spark, sf, "nation").quads), "select 3 * count(*) as triples, count(*) as subjects, 3::bigint as predicates, count(distinct n_name) + count(distinct n_regionkey) + 1 as objects, 1::bigint as classes, count(*) as entities from nation"),
-    "usage_counts_all": (lambda spark, sf: graphs.usage_counts(dataset(spark, sf).as_quads().quads), ""),
-    "void_stats_all": (lambda spark, sf: graphs.void_stats(dataset(spark, sf).as_quads().quads), ""),
+    "usage_counts_all": (lambda spark, sf: graphs.usage_counts_mapped(dataset(spark, sf)), ""),
+    "void_stats_all": (lambda spark, sf: graphs.void_stats_mapped(dataset(spark, sf)), ""),
     "text_bm25": (bm25, r"with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') as ts from documents), r as (select doc_id, len(ts) as l, len(list_filter(ts, lambda x: x = 'license')) as a, len(list_filter(ts, lambda x: x = 'released')) as b from t where len(ts) > 0), s as (select count(*) as n, avg(l) as m, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from r) select doc_id as id, round(if(a > 0, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)), 0) + if(b > 0, ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 0), 9) as score from r, s where a + b > 0 order by score desc, id limit 20"),
     "text_filter_exact": (text_filter, f"select {D} as d from documents where contains(lower(text), 'icens')"),
     "geo_distance": (geo_distance, f"select vec_id, round(sqrt(x * x + y * y), 9) as d from {POINTS}"),

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import browse, geo, shex, swrl
-from quadrille.plans import catalog, further
+from quadrille.operators import browse, geo, graphs, shex, swrl
+from quadrille.plans import catalog, further, operations
 from quadrille.plans.rewrite import query_ql
+from quadrille.sources.dataset import ClassMap, MappedTables, Property
 from quadrille.sources.rdf import from_text, lines
 from quadrille.streaming.ingest import ingest, read_stream, table
+from quadrille.terms import DATETIME, DBL, DEC, INT, STR, Type
 
 P = "@prefix : <urn:> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -113,3 +115,25 @@ def test_rows_with_one_value_are_dealt_over_tasks(spark, tmp_path):
     want = 3000 * 4500 + 6000 * 4500  # quality 0, and no label
     assert got.count() == want and got.where("q <> 0").isEmpty() and most_in_a_task(got) < want / 1.8
     assert got.groupBy("d").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (4500, 4500, 9000)
+
+
+def test_statistics_of_mapped_tables_are_those_of_their_triples(spark, monkeypatch):
+    """Nulls, repeated keys, -0 and 0, equal texts of different types, one prefix of two tables, empty tables; no triple is made."""
+    a = spark.createDataFrame([(1, "x", 0.0, 7, 1), (1, "x", -0.0, 7, 2), (2, None, float("nan"), None, 3), (None, "y", 1.5, 9, 4), (3, "7", None, 7, None)], "k int, s string, d double, i int, r int")
+    b = spark.createDataFrame([(1, "x", "1.50"), (9, "7", "1.5"), (3, None, None)], "k bigint, s string, m string").selectExpr("k", "s", "cast(m as decimal(18,2)) m", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, k) as t")
+    thing = Type("iri", prefix="urn:t/")
+    classes = [
+        ClassMap("a", lambda: a, "urn:c:A", "urn:t/", "k", {"urn:s": Property("s", STR), "urn:d": Property("d", DBL), "urn:i": Property("i", INT), "urn:r": Property("r", thing)}),
+        ClassMap("b", lambda: b, "urn:c:B", "urn:t/", "k", {"urn:s": Property("s", STR), "urn:m": Property("cast(m as decimal(18,2))", DEC), "urn:t": Property("t", DATETIME)}),
+        ClassMap("none", lambda: a.limit(0), "urn:c:None", "urn:u/", "s", {"urn:e": Property("s", STR)}),
+    ]
+    for own in (classes, classes[:1], classes[2:]):
+        data = MappedTables(spark, own)
+        stats, uses = graphs.void_stats(data.quads).collect(), {*map(tuple, graphs.usage_counts(data.quads).collect())}
+        with monkeypatch.context() as m:
+            m.setattr(MappedTables, "as_quads", None)
+            assert graphs.void_stats_mapped(MappedTables(spark, own)).collect() == stats
+            assert {*map(tuple, graphs.usage_counts_mapped(MappedTables(spark, own)).collect())} == uses
+    with monkeypatch.context() as m:
+        m.setattr(MappedTables, "as_quads", None)
+        assert operations.queries()["usage_counts_all"](spark, "/root/testdata/sf0.001").count() > 40
