@@ -14,10 +14,11 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     From seeds each round takes one more edge. Without them each round joins the newest pairs with all
     pairs so far, which doubles the length of the paths, so chains take log2(length) rounds.
     """
-    edges = written(edges.where("s is not null and o is not null").select("s", "o").distinct(), "edges")
+    edges = edges.where("s is not null and o is not null").select("s", "o")
+    edges = written(edges if seeds is not None else edges.distinct(), "edges")  # few are met from seeds: those are made distinct
     if seeds is not None:
         seeds = seeds.distinct()
-        edges_out, start = edges.select(F.col("s").alias("m"), F.col("o").alias("n")), edges.join(seeds, "s", "left_semi")
+        edges_out, start = edges.select(F.col("s").alias("m"), F.col("o").alias("n")), edges.join(seeds, "s", "left_semi").distinct()
     else:
         start = edges
     parts = [written(start, "closure")]

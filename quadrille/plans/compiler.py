@@ -339,21 +339,47 @@ def nodes(ctx: Context) -> Pairs:
     return Pairs(n.select("s", F.col("s").alias("o")), TERM, TERM)
 
 
+def node(ctx: Context, t: Term) -> DataFrame:
+    """[s, o]: a constant with itself if it is a subject or object of the graph; of mapped tables only columns that can have it are read."""
+    if not isinstance(ctx.data, MappedTables) or ctx.scope != Scope():
+        return nodes(ctx).df.where(matches(Value(F.col("s"), TERM), t, ""))
+    own = struct(LITERAL, F.lit(t.lex), t.dt) if t.kind == LITERAL and t.dt in INTEGERS else as_term(constant(t))
+    found = [ctx.spark.createDataFrame([], "x int")]
+    for c in ctx.data.classes:
+        if c.graph != ctx.graph:
+            continue
+        rows = c.table().where(F.expr(c.key).isNotNull())
+        values = [Value(F.expr(c.key), c.subject), *[Value(F.expr(x.column), x.type) for x in c.properties.values()]]
+        if t.kind == IRI and t.lex == c.cls:
+            values.append(Value(F.lit(c.cls), IRI_T))
+        for v in values:
+            if v.type.kind == "term":
+                test = matches(v, t, "")
+            elif v.type.kind == "iri" and t.kind == IRI and (v.type.prefix is None or t.lex.startswith(v.type.prefix)):
+                test = matches(v, t, rows.select(v.col.alias("x")).schema[0].dataType.simpleString())
+            elif v.type.kind == "lit" and t.kind == LITERAL and t.dt == v.type.dt and t.lang == v.type.lang:
+                test = lexical(v) == own["v"]
+            else:
+                continue
+            found.append(rows.where(test).select(F.lit(1).alias("x")).limit(1))
+    return reduce(DataFrame.unionByName, found).limit(1).select(own.alias("s"), own.alias("o"))
+
+
 def repeated(ctx: Context, path: Repeat, start: Term | None) -> Pairs:
     inner = edges(ctx, path.path)
     if inner.s != inner.o:
         inner = inner.generic()
     seeds = None
+    first = inner.df
     if start is not None:
         kind = inner.df.schema["s"].dataType.simpleString()
-        seeds = inner.df.select("s").where(matches(Value(F.col("s"), inner.s), start, kind))
-    pairs = Pairs(closure(inner.df, seeds), inner.s, inner.o) if path.many else Pairs(inner.df.distinct(), inner.s, inner.o)
+        first = inner.df.where(matches(Value(F.col("s"), inner.s), start, kind))
+        seeds = first.select("s")
+    pairs = Pairs(closure(inner.df, seeds), inner.s, inner.o) if path.many else Pairs(first.distinct(), inner.s, inner.o)
     if not path.zero:
         return pairs
-    own = nodes(ctx)
-    if start is not None:
-        own = Pairs(own.df.where(matches(Value(F.col("s"), TERM), start, "")), TERM, TERM)
-    return Pairs(pairs.generic().df.unionByName(own.df).distinct(), TERM, TERM)
+    own = nodes(ctx).df if start is None else node(ctx, start)
+    return Pairs(pairs.generic().df.unionByName(own).distinct(), TERM, TERM)
 
 
 def path_rel(ctx: Context, t: Triple) -> Rel:

@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import browse, geo, graphs, shex, swrl
-from quadrille.plans import catalog, further, operations
+from quadrille.plans import catalog, compiler, further, operations
 from quadrille.plans.rewrite import query_ql
 from quadrille.sources.dataset import ClassMap, MappedTables, Property
 from quadrille.sources.rdf import from_text, lines
 from quadrille.streaming.ingest import ingest, read_stream, table
-from quadrille.terms import DATETIME, DBL, DEC, INT, STR, Type
+from quadrille.terms import DATETIME, DBL, DEC, INT, IRI, LITERAL, STR, Term, Type
 
 P = "@prefix : <urn:> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -137,3 +137,19 @@ def test_statistics_of_mapped_tables_are_those_of_their_triples(spark, monkeypat
     with monkeypatch.context() as m:
         m.setattr(MappedTables, "as_quads", None)
         assert operations.queries()["usage_counts_all"](spark, "/root/testdata/sf0.001").count() > 40
+
+
+def test_a_constant_of_a_path_is_looked_up_in_its_columns(spark, monkeypatch):
+    """A zero-length path from a constant finds it where all nodes would have it, without making a triple."""
+    sf, XS = "/root/testdata/sf0.001", "http://www.w3.org/2001/XMLSchema#"
+    terms = [Term(IRI, "urn:d:nation/3"), Term(IRI, "urn:d:nation/999"), Term(IRI, "urn:d:nation/x"), Term(IRI, "urn:d:region/1"), Term(IRI, "urn:c:Nation"), Term(IRI, "urn:c:None"), Term(IRI, "urn:d:customer/7"), Term(IRI, "urn:elsewhere")]
+    terms += [Term(LITERAL, "NATION_3", XS + "string"), Term(LITERAL, "NATION_3", XS + "token"), Term(LITERAL, "7", XS + "integer"), Term(LITERAL, "07", XS + "integer"), Term(LITERAL, "no", XS + "string")]
+    only = ("nation", "region", "part")
+    every = compiler.nodes(compiler.Context(operations.dataset(spark, sf, only=only))).df.persist()
+    wanted = [every.where(compiler.matches(compiler.Value(F.col("s"), compiler.TERM), t, "")).collect() for t in terms]
+    assert [len(w) for w in wanted] == [1, 0, 0, 1, 1, 0, 0, 0, 1, 0, 1, 0, 0]
+    monkeypatch.setattr(MappedTables, "as_quads", None)
+    ctx = compiler.Context(operations.dataset(spark, sf, only=only))
+    assert [compiler.node(ctx, t).collect() for t in terms] == wanted
+    assert {r["b"] for r in catalog.queries()["path_optional"](spark, sf).collect()} == {"urn:d:turn/1-0", "urn:d:turn/1-1"}
+    assert {r["b"] for r in catalog.queries()["path_star"](spark, sf).collect()} >= {"urn:d:turn/1-0", "urn:d:turn/1-1"}
