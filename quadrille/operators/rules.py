@@ -22,7 +22,7 @@ from quadrille.functions.scalar import canonical
 from quadrille.operators.storage import written
 from quadrille.sources.dataset import QuadTable
 from quadrille.sources.rdf import parsed
-from quadrille.terms import OWL, RDF, RDFS, TERM, XSD, Value
+from quadrille.terms import LITERAL, OWL, RDF, RDFS, TERM, XSD, Value, struct
 
 NAMES = {"a": RDF + "type", "member": "urn:q:member", "length": "urn:q:length"}
 
@@ -326,12 +326,35 @@ def materialize(data: QuadTable, regime: str | list[Rule] = "rdfs", graphs: tupl
     return decoded(added.distinct(), target or f"urn:entailment:{name}")
 
 
+#: Literals longer than this are known by their digest where only their equality counts.
+LONG, DIGEST = 64, "urn:q:digest"
+
+
+def digested(data: QuadTable) -> QuadTable:
+    """Long literals as digests of their canonical text: rules ask only whether two are the same, and which terms are literals."""
+    o = F.col("o")
+    short = struct(LITERAL, F.sha2(canonical(Value(o, TERM)), 256), DIGEST)
+    return QuadTable(data.quads.withColumn("o", F.when((o["k"] == LITERAL) & (F.length(o["v"]) > LONG), short).otherwise(o)))
+
+
+def spelled(found: DataFrame, data: QuadTable) -> DataFrame:
+    """Clashes with the texts of their digests."""
+    text = canonical(Value(F.col("o"), TERM))
+    long = data.quads.where(F.col("g").isNull() & (F.col("o.k") == LITERAL) & (F.length("o.v") > LONG)).select(F.concat(F.lit('"'), F.sha2(text, 256), F.lit(f'"^^<{DIGEST}>')).alias("digest"), text.alias("text"))
+    met = long.join(F.broadcast(found.where(F.col("with").endswith(f"^^<{DIGEST}>")).select(F.col("with").alias("digest")).distinct()), "digest", "left_semi").distinct()
+    return found.join(met, F.col("with") == F.col("digest"), "left").select("rule", "subject", F.coalesce("text", "with").alias("with"))
+
+
 def inconsistencies(data: QuadTable, regime: str = "owl2-rl") -> DataFrame:
     """[rule, subject, with]: facts, given or inferred, that contradict each other."""
-    own = encoded(data)
+    whole, data = data, digested(data)
+    own = written(encoded(data), "facts")
     inferred = encoded(materialize(data, regime, target="urn:q:tmp"), ("urn:q:tmp",))
-    facts = written(own.unionByName(inferred).unionByName(list_facts(written(own, "facts"))).distinct(), "facts")
+    facts = written(own.unionByName(inferred).unionByName(list_facts(own)).distinct(), "facts")
     preds, classes = vocabulary(RL_CHECKS)
     there = occurring(facts, preds, classes)
-    found = [apply(r, [facts] * len(r.body)).select(F.lit(r.name).alias("rule"), F.col("s").alias("subject"), F.col("o").alias("with")) for r in RL_CHECKS if all(can_match(b, there) for b in r.body)]
+    checks = [r for r in RL_CHECKS if all(can_match(b, there) for b in r.body)]
+    found = [apply(r, [facts] * len(r.body)).select(F.lit(r.name).alias("rule"), F.col("s").alias("subject"), F.col("o").alias("with")) for r in checks]
+    # Only where the two name an object of any predicate can it be a literal.
+    found = [spelled(x, whole) if r.name in ("eq-diff1", "prp-asyp", "prp-pdw") else x for x, r in zip(found, checks, strict=True)]
     return reduce(DataFrame.unionByName, found).distinct() if found else data.spark.createDataFrame([], "rule string, subject string, with string")

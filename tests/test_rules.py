@@ -105,3 +105,24 @@ def test_rules_go_on_until_nothing_is_new(spark, monkeypatch):
     monkeypatch.setattr("quadrille.operators.rules.MOST_ROUNDS", 2, raising=False)
     chain = " ".join(f":A{i} rdfs:subClassOf :A{i + 1} ." for i in range(9))
     assert has("x", "a", "A9") in inferred(spark, "rdfs", f":x a :A0 . {chain}")
+
+
+def test_inconsistencies_write_no_long_texts(spark, monkeypatch):
+    """Long literals go as digests; a clash names them in full, and texts that differ at their end stay apart."""
+    from pyspark.sql import functions as F
+
+    from quadrille.operators import rules
+
+    sizes, kept = [], rules.written
+
+    def written(df, name="table"):
+        out = kept(df, name)
+        sizes.extend(out.agg(F.max(F.length(c))).first()[0] or 0 for c in out.columns)
+        return out
+
+    monkeypatch.setattr(rules, "written", written)
+    text = "word \\\"quoted\\\" " * 300
+    data = from_text(spark, f'@prefix : <urn:> . @prefix owl: <http://www.w3.org/2002/07/owl#> . :p owl:propertyDisjointWith :q . :a :p "{text}a"@en ; :q "{text}a"@en . :b :p "{text}b" ; :q "{text}c" . :c :p "{text}d" ; :q "{text}d"@en . :e :p "x" ; :q "x" .')
+    got = sorted(map(tuple, rules.inconsistencies(data).collect()))
+    assert got == [("prp-pdw", "<urn:a>", f'"{text}a"@en'), ("prp-pdw", "<urn:e>", '"x"')]
+    assert sizes and max(sizes) < 300
